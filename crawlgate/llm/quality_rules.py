@@ -1,6 +1,6 @@
 """Quality rules: a threshold table compiled into one Spark projection.
 
-``measure`` adds one struct of counts to each row, ``compile_rules`` turns the
+``measured`` is one struct of counts of a text, ``compile_rules`` turns the
 table below into one boolean expression over these counts, and both are plain
 column expressions: no user function, no shuffle, no join.
 
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgate.llm.common import BLANKS, prefixed, table
+from crawlgate.llm.common import BLANKS, table
 
 RESULT = "quality_rules"
 WINDOW = 5
@@ -41,7 +41,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", high=100),
     Rule("stop_words", "n_stop_words", "n_words", low=20, min_words=50),
     Rule("upper_case_words", "n_upper_words", "n_words", high=500),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", high=300),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", high=500),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", high=300),
 )
 
@@ -55,63 +55,70 @@ STOP_WORDS = (
 STOP_WORDS = tuple(sorted(set(STOP_WORDS)))
 
 
-def _repeated_words(words: Column, windows: Column, hashes: Column) -> Column:
+_WINDOW_TYPE = "struct<a:string,b:string,c:string,d:string,e:string,at:int>"
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` made once.
+
+    A named column would be inlined into the lambdas below and made again for
+    each element; the variable of a lambda over an array of one is not.
+    """
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _windows(words: Column) -> Column:
+    """Each run of five words, with its place."""
+    n = F.size(words)
+    made = F.transform(
+        F.slice(words, 1, F.greatest(n - WINDOW + 1, F.lit(1))),
+        lambda w, i: F.struct(w.alias("a"), *[F.get(words, i + k).alias(x) for k, x in enumerate("bcde", 1)], i.alias("at")),
+    )
+    return F.when(n >= WINDOW, made).otherwise(F.array().cast(f"array<{_WINDOW_TYPE}>"))
+
+
+def _repeated_words(windows: Column) -> Column:
     """Words inside five-word windows that occur twice or more.
 
     Equal windows have equal hashes, so a text whose hashes all differ has
     none; only the others sort their windows, which compares the words.
     """
-    same = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]) & (x["d"] == y["d"]) & (x["e"] == y["e"]), F.lit(False))
+
+    def same(x: Column, y: Column) -> Column:
+        return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]) & (x["d"] == y["d"]) & (x["e"] == y["e"]), F.lit(False))
 
     def covered(ordered: Column) -> Column:
         twice = F.filter(ordered, lambda x, k: same(x, F.get(ordered, k - 1)) | same(x, F.get(ordered, k + 1)))
         return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.sequence(x["at"], x["at"] + WINDOW - 1)))))
 
-    # An array of one, so that the sorted windows are made once and named.
-    found = F.get(F.transform(F.array(F.array_sort(windows)), covered), 0)
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), found).otherwise(0)
+    hashes = F.transform(windows, lambda x: F.xxhash64(x["a"], x["b"], x["c"], x["d"], x["e"]))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(windows), _let(F.array_sort(windows), covered)).otherwise(0)
 
 
-_WINDOW_TYPE = "struct<a:string,b:string,c:string,d:string,e:string,at:int>"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_repeat_words", "n_stop_words", "n_upper_words")
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` and the struct ``quality_rules`` of counts, all long."""
-    keep = [c for c in docs.columns if c != RESULT]
-    p = prefixed(docs.columns)
-    col = lambda name: F.col(p + name)
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    step = docs.select(*[F.col(f"`{c}`") for c in keep], body.alias(p + "text"))
-    step = step.withColumns(
-        {
-            p + "words": F.filter(F.split(col("text"), BLANKS, -1), lambda w: w != ""),
-            p + "lines": F.filter(F.split(col("text"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-        }
-    )
-    n = F.size(col("words"))
-    step = step.withColumn(
-        p + "windows",
-        F.when(
-            n >= WINDOW,
-            F.transform(
-                F.slice(col("words"), 1, F.greatest(n - WINDOW + 1, F.lit(1))),
-                lambda w, i: F.struct(w.alias("a"), *[F.get(col("words"), i + k).alias(x) for k, x in enumerate("bcde", 1)], i.alias("at")),
-            ),
-        ).otherwise(F.array().cast(f"array<{_WINDOW_TYPE}>")),
-    )
-    step = step.withColumn(p + "hashes", F.transform(col("windows"), lambda x: F.xxhash64(x["a"], x["b"], x["c"], x["d"], x["e"])))
+def _counts(text: Column, words: Column, lines: Column) -> Column:
     counts = {
-        "n_words": n,
-        "word_chars": F.length(F.regexp_replace(col("text"), BLANKS, "")),
-        "n_symbols": F.length(col("text")) - F.length(F.translate(col("text"), "#*$%&|<>", "")),
-        "n_lines": F.size(col("lines")),
-        "n_dup_lines": F.size(col("lines")) - F.size(F.array_distinct(col("lines"))),
-        "n_ellipsis_lines": F.size(F.filter(col("lines"), lambda x: x.endswith("...") | x.endswith("…"))),
-        "n_repeat_words": _repeated_words(col("words"), col("windows"), col("hashes")),
-        "n_stop_words": F.size(F.filter(col("words"), lambda w: F.lower(w).isin(*STOP_WORDS))),
-        "n_upper_words": F.size(F.filter(col("words"), lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1))),
+        "n_words": F.size(words),
+        "word_chars": F.length(F.regexp_replace(text, BLANKS, "")),
+        "n_symbols": F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.endswith("...") | x.endswith("…"))),
+        "n_repeat_words": _let(_windows(words), _repeated_words),
+        "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))),
+        "n_upper_words": F.size(F.filter(words, lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1))),
     }
-    return step.select(*[F.col(f"`{c}`") for c in keep], F.struct(*[c.cast("long").alias(k) for k, c in counts.items()]).alias(RESULT))
+    return F.struct(*[c.cast("long").alias(k) for k, c in counts.items()])
+
+
+def measured(text: str = "text") -> Column:
+    """A struct of the counts of a text, all long."""
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    words = lambda t: F.filter(F.split(t, BLANKS, -1), lambda w: w != "")
+    lines = lambda t: F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return _let(F.struct(body.alias("t"), words(body).alias("w"), lines(body).alias("l")), lambda x: _counts(x["t"], x["w"], x["l"]))
 
 
 def base_failed(m: Column) -> Column:
@@ -133,19 +140,27 @@ def compile_rules(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return verdict
 
 
+def verdict(text: str = "text", rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the counts, ``base_failed`` and ``kept``."""
+
+    def judged(m: Column) -> Column:
+        failed = base_failed(m)
+        return F.struct(*[m[c].alias(c) for c in COUNTS], failed.alias("base_failed"), (~failed & compile_rules(m, rules)).alias("kept"))
+
+    return _let(measured(text), judged)
+
+
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the struct ``quality_rules``: counts, ``base_failed``, ``kept``."""
-    m = F.col(RESULT)
-    measured = measure(docs, text)
-    failed = base_failed(m)
-    return measured.withColumn(RESULT, m.withField("base_failed", failed).withField("kept", ~failed & compile_rules(m, rules)))
+    return docs.withColumn(RESULT, verdict(text, rules))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: every document of the table, judged."""
-    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    m = F.col(RESULT)
-    return judged.select("doc_id", *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+    docs = table(spark, sf_dir, "documents")
+    # inline() makes the struct once; picking its fields could make it once a field.
+    judged = docs.select("doc_id", F.inline(F.array(verdict())))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def _sql_rule(rule: Rule) -> str:
