@@ -12,6 +12,7 @@ from importlib import import_module
 #: Query name -> module.  Modules are imported when their query is asked for.
 QUERIES = {
     "op8_quality_rules": "quality_rules",
+    "op1_minmax_dedup": "near_dedup",
     "op3_language_id": "language_id",
     "op4_fingerprints": "fingerprints",
     "op9_best_fit_packing": "packing",
