@@ -11,6 +11,7 @@ from importlib import import_module
 
 #: Query name -> module.  Modules are imported when their query is asked for.
 QUERIES = {
+    "op5_toxicity": "toxicity",
     "op6_lm_score": "lm_score",
     "op7_suffix_dedup": "substring_dedup",
     "op8_quality_rules": "quality_rules",
