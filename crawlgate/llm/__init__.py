@@ -16,6 +16,7 @@ QUERIES = {
     "op7_suffix_dedup": "substring_dedup",
     "op8_quality_rules": "quality_rules",
     "op1_minmax_dedup": "near_dedup",
+    "op2_license_scan": "license_scan",
     "op3_language_id": "language_id",
     "op4_fingerprints": "fingerprints",
     "op9_best_fit_packing": "packing",

@@ -39,10 +39,10 @@ from crawlgate.llm.common import table
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Entries after which a word cache or a transition table starts anew.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 500_000
 MOST_ARCS = 2_000_000
 #: Characters of texts whose words are learnt together.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 
 
 def byte_of_char() -> dict[str, int]:

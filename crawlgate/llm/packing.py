@@ -20,62 +20,75 @@ repeated rows are packed as any other.  An empty table has no pieces.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlgate.llm.bpe_automaton import automaton, split_pattern, tokenizer_text
+from crawlgate.llm.bpe_automaton import WORDS, automaton, byte_of_char, split_pattern, tokenizer_text
 from crawlgate.llm.common import table, written
 
 CAPACITY = 1024
 END = 2
 #: Branches looked at, and fillings enumerated around one item.
-NODES = 600
-FILLINGS = 64
+NODES = 6000
+FILLINGS = 16
+#: Branches after which best fit finishes one for a new best solution.
+FIT_EACH = 50
 
 PIECES = "doc_id {id}, piece int, start long, length int, ids_crc32 long, part int, place long"
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Bins that any packing needs: by total size, and by items that cannot share a bin."""
-    total = sum(s * n for s, n in counts.items())
-    best = -(-total // capacity)
+    n = np.zeros(capacity + 1, np.int64)
+    for s, k in counts.items():
+        n[s] = k
+    size = np.arange(capacity + 1)
+    half = capacity // 2
+    number, total = np.cumsum(n), np.cumsum(n * size)
     # Items over capacity - k fill bins alone; those over half one each, with room for items of k at least.
-    for k in sorted({s for s in counts if 2 * s <= capacity}) or [capacity]:
-        alone = sum(n for s, n in counts.items() if s > capacity - k)
-        half = [(s, n) for s, n in counts.items() if 2 * s > capacity and s <= capacity - k]
-        rest = sum(s * n for s, n in counts.items() if k <= s and 2 * s <= capacity)
-        n_half = sum(n for _, n in half)
-        room = sum((capacity - s) * n for s, n in half)
-        best = max(best, alone + n_half + max(0, -(-(rest - room) // capacity)))
-    return best
+    k = np.arange(1, half + 1)
+    alone = number[-1] - number[capacity - k]
+    over_half = number[capacity - k] - number[half]
+    room = capacity * over_half - (total[capacity - k] - total[half])
+    rest = total[half] - total[k - 1]
+    return int(max(-(-total[-1] // capacity), (alone + over_half + np.maximum(0, -(-(rest - room) // capacity))).max(initial=0)))
 
 
 def fillings(counts: dict[int, int], room: int, limit: int = FILLINGS) -> list[tuple[int, ...]]:
     """Undominated multisets of sizes, largest first, that fit in ``room``; least waste first.
 
-    A filling is dominated where the waste would let one larger size left take
-    the place of one or more of its items.
+    One item that fills the room dominates all other fillings.  Else those of
+    two items without waste are taken, and those of more while there are fewer
+    than ``limit``.  A filling with waste is dominated where a larger size left
+    could take the place of one or more of its items.
     """
+    if counts.get(room):
+        return [(room,)]
     sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
     if not sizes:
         return [()]
-    rising = sizes[::-1]
     found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
+    for s in sizes:
+        if 2 * s < room or len(found) >= limit:
+            break
+        if counts.get(room - s, 0) > (2 * s == room):
+            found.append((0, (s, room - s)))
+    rising, steps = sizes[::-1], 0
 
     def undominated(items: tuple[int, ...], waste: int) -> bool:
         sums = {0}
         for x in items:
             sums |= {x + y for y in sums}
         for total in sums - {0}:
-            # A size over ``total``, or the same in one piece, that still fits.
             k = bisect_right(rising, total + waste) - 1
             if k >= 0 and rising[k] > total and items.count(rising[k]) < counts[rising[k]]:
                 return False
@@ -83,31 +96,22 @@ def fillings(counts: dict[int, int], room: int, limit: int = FILLINGS) -> list[t
 
     def grow(begin: int, left: int, items: tuple[int, ...]) -> None:
         nonlocal steps
-        if len(found) >= limit or steps > 50 * limit:
+        begin = max(begin, len(sizes) - bisect_right(rising, left))
+        if begin == len(sizes) or len(items) >= 12:
+            if items and (not left or undominated(items, left)):
+                found.append((left, items))
             return
-        more = False
         for i in range(begin, len(sizes)):
+            if len(found) >= limit or steps > 20 * limit:
+                return
             s = sizes[i]
-            if s <= left and items.count(s) < counts[s] and len(items) < 12:
-                more = True
+            if items.count(s) < counts[s]:
                 steps += 1
                 grow(i, left - s, (*items, s))
-                if len(found) >= limit or steps > 50 * limit:
-                    return
-        if not more and items and undominated(items, left):
-            found.append((left, items))
 
-    # A last item that fits exactly is looked up first: such fillings waste nothing.
-    have = set(sizes)
-    for s in sizes:
-        other = room - s
-        if other == 0 or (other in have and other <= s and (other != s or counts[s] > 1)):
-            found.append((0, (s,) if not other else (s, other)))
-            if len(found) >= limit // 2:
-                break
-    exact = len(found)
-    grow(0, room, ())
-    if len(found) == exact:
+    if not found:
+        grow(0, room, ())
+    if not found:
         # None was undominated within the limit: the largest that fit, one after the other.
         left, items = room, ()
         for s in sizes:
@@ -172,8 +176,10 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
                 continue
             if used + lower_bound(left, capacity) >= n_best:
                 continue
-            if (rest := best_fit(left, capacity)) and used + sum(k for _, k in rest) < n_best:
-                best, n_best = made + rest, used + sum(k for _, k in rest)
+            if not seen % FIT_EACH:
+                rest = best_fit(left, capacity)
+                if used + sum(k for _, k in rest) < n_best:
+                    best, n_best = made + rest, used + sum(k for _, k in rest)
             top = max(left)
             less = left | {top: left[top] - 1}
             branches = []
@@ -196,6 +202,31 @@ def _cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
+_CODERS: dict[int, Callable] = {}
+
+
+def coder(spec: str, pattern: str) -> Callable[[list], list[bytes]]:
+    """Texts -> packed ids.
+
+    Where a file's ids rise with the ranks of its merges, tiktoken gives the
+    same ids as the tokenizers library; other files go to the automaton.
+    """
+    key = zlib.crc32(spec.encode())
+    if key not in _CODERS:
+        read = json.loads(spec)
+        vocab, byte = read["model"]["vocab"], byte_of_char()
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in read["model"]["merges"]]
+        rising = all(x < y for x, y in zip(merged, merged[1:])) and sorted(set(vocab.values()) - set(merged)) == list(range(256))
+        special = {x["content"]: x["id"] for x in read.get("added_tokens", ())}
+        if rising and read["model"]["type"] == "BPE" and not read.get("normalizer") and (read.get("pre_tokenizer") or {}).get("type") == "ByteLevel":
+            ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items()}
+            quick = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
+            _CODERS[key] = lambda texts: [quick.encode_to_numpy(t or "", allowed_special="all").astype("<u4").tobytes() for t in texts]
+        else:
+            _CODERS[key] = automaton(spec, pattern).encode_all
+    return _CODERS[key]
+
+
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Each document's pieces, with the partition they were made in and their place among its pieces of that length."""
     spark = docs.sparkSession
@@ -203,11 +234,11 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
     closing = end.to_bytes(4, "little")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = automaton(*spec.value)
+        encode = coder(*spec.value)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for i, ids in enumerate(built.encode_all(batch.column(1).to_pylist())):
+            for i, ids in enumerate(encode(batch.column(1).to_pylist())):
                 ids += closing
                 for k, (start, length) in enumerate(_cut(len(ids) // 4, capacity)):
                     for column, x in zip(out, (i, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, int(seen[length]))):

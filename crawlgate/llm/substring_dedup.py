@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -359,6 +360,28 @@ def cut(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     return texts.join(found, "node").select("node", "text", "spans").mapInArrow(_cut, "node long, kept binary, n_removed long, n_spans long")
 
 
+def dedupe(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``docs`` with what ``cut`` leaves of the texts, and ``n_chars``, if there is such a column, of these.
+
+    Removed runs can begin or end inside a character; its bytes that are left
+    are dropped from the text.  No row goes, and rows that lose nothing are as
+    they were.
+    """
+    mark, kept = "crawlgate_node", "crawlgate_kept"
+    left = cut(docs, text, length).select(F.col("node").alias(mark), F.col("kept").alias(kept))
+    rows = docs.withColumn(mark, F.monotonically_increasing_id()).join(left, mark, "left")
+
+    @F.pandas_udf("string")
+    def readable(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+
+    body = F.when(F.col(kept).isNotNull(), readable(F.col(kept))).otherwise(F.col(f"`{text}`"))
+    rows = rows.withColumn(text, body)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: every document of the table without its repeated strings of 200 bytes."""
     docs = table(spark, sf_dir, "documents")
