@@ -120,10 +120,15 @@ class Automaton:
         self.at_special = regex.compile(f"({named})") if named else None
         self.words = regex.compile(pattern or split_pattern(), regex.V1)
         self.latin = latin_pattern(self.words)
+        # A gadget adds its arc only where the path of its halves is; without one its token is never read.
+        made = {t: True for t in self.born if t not in self.left}
+        for t, u in self.left.items():
+            v = self.right[t]
+            made[t] = made.get(u, False) and made.get(v, False) and self._unrolled(u, v, self.born[t])
         # Labels read backwards, a node for each suffix; the key -1 has the token.
         self.ending: dict = {}
         for t, label in self.labels.items():
-            if t in self.born and (len(label) == 1 or t in self.left):
+            if made.get(t) and (len(label) == 1 or t in self.left):
                 node = self.ending
                 for b in reversed(label):
                     node = node.setdefault(b, {})
@@ -141,10 +146,11 @@ class Automaton:
             found = self.arcs[key] = self._unrolled(state, arc)
         return found
 
-    def _unrolled(self, x: int, y: int) -> bool:
+    def _unrolled(self, x: int, y: int, end: int | None = None) -> bool:
+        """``leads`` with the gadgets before ``end`` in force, or all."""
         born, rank = self.born, self.rank
-        # The gadgets before ``end`` are in force.
-        end = len(rank) + 1
+        if end is None:
+            end = len(rank) + 1
         while True:
             n = rank.get(x << 32 | y)
             if n is not None and n < end:
