@@ -96,10 +96,23 @@ def _path(path: Column, special: Column) -> Column:
     return percent_encode(whole, "path")
 
 
+#: Absolute URLs that stay as they are behind the host: no sign to encode, no dot segment, a short port.
+_PLAIN = r"^[Hh][Tt][Tt][Pp][Ss]?://[A-Za-z0-9.\-]+(?::[0-9]{1,4})?(?:(?!.*(?:/[.]|%2[Ee]))[/?#][!#$&(-;=?@A-Z\[\]_a-z~%]*)?\z"
+
+
 def prepare_url(url: Column) -> Column:
-    """The text that rules are matched with: path, query and fragment, or the encoded relative URL."""
+    """The text that rules are matched with: path, query and fragment, or the encoded relative URL.
+
+    Plain URLs, and those that begin with a slash, need no parsing.
+    """
+    tail = F.regexp_replace(url, "^[^/]*//[^/?#]*", "")
     target = _let(parse(url), lambda u: F.when(u["error"].isNull(), F.concat(u["path"], u["query"], u["fragment"])))
-    return F.when(url == "", F.lit("/")).otherwise(F.coalesce(target, percent_encode(from_text(url), "rule")))
+    return (
+        F.when(url == "", F.lit("/"))
+        .when(url.rlike(_PLAIN), F.when(tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail)))
+        .when(url.startswith("/"), percent_encode(from_text(url), "rule"))
+        .otherwise(F.coalesce(target, percent_encode(from_text(url), "rule")))
+    )
 
 
 def robots_location(url: Column) -> Column:

@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from crawlgate.functions.latin1 import from_text, lower_ascii
 
 
-def grouped(directives: DataFrame) -> DataFrame:
-    """Without sitemaps and unknown lines; with ``grp``, the run of User-agent lines that a line follows, and ``n_ua``.
+def grouped(directives: DataFrame, keep_others: bool = False) -> DataFrame:
+    """With ``grp``, the run of User-agent lines that a line follows, and ``n_ua``.
 
-    One shuffle, by file; what follows by file uses it too.
+    Sitemaps and unknown lines are left out, or kept with a null ``grp``.  One
+    shuffle, by file; what follows by file uses it too.
     """
+    known = F.coalesce(~F.col("kind").isin("sitemap", "raw"), F.lit(False))
+    rows = directives.withColumn("known", known) if keep_others else directives.filter(known).withColumn("known", F.lit(True))
     by_file = Window.partitionBy("robots_id")
-    ordered = by_file.orderBy("line_no")
+    # Lines that count stand together, in their order; the others come after them.
+    ordered = by_file.orderBy(F.desc("known"), "line_no")
     is_ua = F.col("kind") == "user_agent"
-    rows = directives.filter(~F.col("kind").isin("sitemap", "raw"))
     first = is_ua & ~F.coalesce(F.lag(is_ua).over(ordered), F.lit(False))
     rows = rows.withColumn("first", first.cast("int"))
     running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("*", F.sum("first").over(running).cast("int").alias("grp"), F.count(F.when(is_ua, 1)).over(by_file).alias("n_ua")).drop("first")
+    grp = F.when(F.col("known"), F.sum("first").over(running).cast("int"))
+    return rows.select("*", grp.alias("grp"), F.count(F.when(is_ua, 1)).over(by_file).alias("n_ua")).drop("first", "known")
 
 
 def agent_key(agent: Column) -> Column:

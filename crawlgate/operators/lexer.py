@@ -33,19 +33,21 @@ def text_lines(content: Column, max_bytes: int | None = None) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def lines(robots: DataFrame, max_bytes: int | None = None) -> DataFrame:
-    """``robots_id``, ``line_no`` from 0, ``line``."""
-    return robots.select("robots_id", F.posexplode(text_lines(F.col("content"), max_bytes)).alias("line_no", "line"))
+def lines(robots: DataFrame, max_bytes: int | None = None, outer: bool = False) -> DataFrame:
+    """``robots_id``, ``line_no`` from 0, ``line``; with ``outer`` a row of nulls for a file without lines."""
+    explode = F.posexplode_outer if outer else F.posexplode
+    return robots.select("robots_id", explode(text_lines(F.col("content"), max_bytes)).alias("line_no", "line"))
 
 
-def directives(robots: DataFrame, max_bytes: int | None = None) -> DataFrame:
+def directives(robots: DataFrame, max_bytes: int | None = None, outer: bool = False) -> DataFrame:
     """``robots_id``, ``line_no``, ``kind``, ``value`` (Latin-1) and ``delay`` of every line."""
     word = F.lower(F.regexp_extract("line", STATEMENT, 1))
     kind = F.lit("raw")
     for name, words in KEYWORDS.items():
         kind = F.when(F.col("word").isin(*words), name).otherwise(kind)
-    rows = lines(robots, max_bytes).select("*", word.alias("word"), trim(F.regexp_extract("line", STATEMENT, 2)).alias("text"))
-    rows = rows.select("robots_id", "line_no", "line", kind.alias("kind"), "text", F.when(F.col("text").rlike(_FLOAT), F.col("text").try_cast("float")).alias("number"))
+    rows = lines(robots, max_bytes, outer).select("*", word.alias("word"))
+    rows = rows.select("*", F.when(F.col("word") != "", trim(F.regexp_extract("line", STATEMENT, 2))).otherwise("").alias("text"))
+    rows = rows.select("robots_id", "line_no", "line", kind.alias("kind"), "text", F.when(kind == "crawl_delay", F.when(F.col("text").rlike(_FLOAT), F.col("text").try_cast("float"))).alias("number"))
     good = F.col("number").isNotNull() & ~F.isnan("number") & (F.col("number") >= 0)
     # A delay that is no number is an unknown line; an empty Disallow allows all.
     kind = F.when((F.col("kind") == "crawl_delay") & ~F.coalesce(good, F.lit(False)), "raw").when((F.col("kind") == "disallow") & (F.col("text") == ""), "allow_all").otherwise(F.col("kind"))

@@ -66,13 +66,16 @@ def matches(rule: Column, text: Column) -> Column:
     """Whether a rule matches a prepared URL."""
     parts = rule["parts"]
     first, n = F.get(parts, 0), F.size(parts)
-    begin = F.when(text.startswith(first), F.length(first) + 1).otherwise(0)
+    begin = F.length(first) + 1
+    # Most rules fail at their first part, before any fold over the others.
+    starred = text.startswith(first) & (_found(F.slice(parts, 2, F.greatest(n - 1, F.lit(0))), text, begin) > 0)
     # A text that is empty or begins with a star is searched for the first part too.
     loose = (text == "") | text.startswith("*")
-    star = F.when(loose, _found(parts, text, F.lit(1))).otherwise(_found(F.slice(parts, 2, F.greatest(n - 1, F.lit(0))), text, begin)) > 0
+    star = F.when(loose, _found(parts, text, F.lit(1)) > 0).otherwise(starred)
     last = F.element_at(parts, -1)
-    middle = _found(F.slice(parts, 2, F.greatest(n - 2, F.lit(0))), text, begin)
-    anchored = rule["tail_ok"] & F.when(n == 1, text == first).otherwise((middle > 0) & text.endswith(last) & (F.length(text) - F.length(last) + 1 >= middle))
+    ends = text.endswith(last) & (F.length(text) - F.length(last) + 1 >= _found(F.slice(parts, 2, F.greatest(n - 2, F.lit(0))), text, begin))
+    found = _found(F.slice(parts, 2, F.greatest(n - 2, F.lit(0))), text, begin) > 0
+    anchored = rule["tail_ok"] & text.startswith(first) & F.when(n == 1, text == first).otherwise(ends & found)
     return F.when(rule["mode"] == "prefix", text.startswith(rule["pattern"])).when(rule["mode"] == "star", star).otherwise(anchored)
 
 

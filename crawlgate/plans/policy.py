@@ -16,28 +16,17 @@ def parsed_files(robots: DataFrame, max_bytes: int | None = None) -> DataFrame:
 
     Rules are compiled here, once a file, whatever the number of agents.
     """
-    rows = directives(robots, max_bytes)
-    # All lines go through the window's shuffle once; sitemaps are put beside the groups.
-    groups = grouped(rows)
+    # Every line, and a file without any, goes through one shuffle by file, once.
+    rows = grouped(directives(robots, max_bytes, outer=True), keep_others=True)
     is_rule = F.col("kind").isin("allow", "disallow")
-    rule = F.when(is_rule, compiled(F.col("line_no"), F.col("value"), F.col("kind") == "allow"))
-    groups = groups.withColumn("rule", rule)
-    files = groups.groupBy("robots_id").agg(
+    rows = rows.withColumn("rule", F.when(is_rule, compiled(F.col("line_no"), F.col("value"), F.col("kind") == "allow")))
+    rows = rows.withColumn("url", F.when(F.col("kind") == "sitemap", to_text(F.col("value"))))
+    return rows.groupBy("robots_id").agg(
         F.max("n_ua").alias("n_ua"),
         F.collect_set(F.when(F.col("kind") == "user_agent", F.struct(file_key(F.col("value")).alias("agent"), "grp"))).alias("agents"),
         F.array_sort(F.collect_list(F.when(F.col("rule").isNotNull(), F.struct("line_no", "grp", "rule")))).alias("rules"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == "crawl_delay", F.struct("line_no", "grp", "delay")))).alias("delays"),
-    )
-    maps = rows.filter("kind = 'sitemap'").select("robots_id", "line_no", to_text(F.col("value")).alias("url")).filter("url IS NOT NULL")
-    maps = maps.groupBy("robots_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "url"))).alias("maps"))
-    every = robots.select("robots_id").join(files, "robots_id", "left").join(maps, "robots_id", "left")
-    return every.select(
-        "robots_id",
-        F.coalesce("n_ua", F.lit(0)).alias("n_ua"),
-        F.coalesce("agents", F.array().cast("array<struct<agent:string,grp:int>>")).alias("agents"),
-        F.coalesce("rules", F.array().cast(f"array<struct<line_no:int,grp:int,rule:{RULE_TYPE}>>")).alias("rules"),
-        F.coalesce("delays", F.array().cast("array<struct<line_no:int,grp:int,delay:float>>")).alias("delays"),
-        F.transform(F.coalesce("maps", F.array().cast("array<struct<line_no:int,url:string>>")), lambda m: m["url"]).alias("sitemaps"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("url").isNotNull(), F.struct("line_no", "url")))), lambda m: m["url"]).alias("sitemaps"),
     )
 
 
