@@ -44,33 +44,50 @@ def _parsed(text: Column) -> Column:
 
 def _split(u: Column) -> Column:
     scheme, special, body = u["scheme"], u["special"], u["body"]
-    is_file = scheme == "file"
-    netloc = F.when(special & ~is_file, F.regexp_extract(body, r"^/*([^/]*)", 1)).otherwise(F.regexp_extract(body, r"^//([^/]*)", 1))
-    path = F.when(special & ~is_file, F.regexp_extract(body, r"^/*[^/]*([\x00-\xff]*)", 1)).when(body.startswith("//"), F.regexp_extract(body, r"^//[^/]*([\x00-\xff]*)", 1)).otherwise(body)
-    has_netloc = (special & ~is_file) | body.startswith("//")
-    opaque = ~special & ~body.startswith("/")
-    after = F.regexp_replace(netloc, r"^[\x00-\xff]*@", "")
+    listed = special & (scheme != "file")
+    parted = body.startswith("//")
+    cut = F.struct(
+        scheme.alias("scheme"),
+        special.alias("special"),
+        listed.alias("listed"),
+        u["query"].alias("query"),
+        u["fragment"].alias("fragment"),
+        (listed | parted).alias("has_netloc"),
+        (~special & ~body.startswith("/")).alias("opaque"),
+        F.when(listed, F.regexp_extract(body, r"^/*([^/]*)", 1)).otherwise(F.regexp_extract(body, r"^//([^/]*)", 1)).alias("netloc"),
+        F.when(listed, F.regexp_extract(body, r"^/*[^/]*([\x00-\xff]*)", 1)).when(parted, F.regexp_extract(body, r"^//[^/]*([\x00-\xff]*)", 1)).otherwise(body).alias("path"),
+    )
+    return _let(cut, lambda c: _let(F.regexp_replace(c["netloc"], r"^[\x00-\xff]*@", ""), lambda after: _hosted(c, after)))
+
+
+def _hosted(c: Column, after: Column) -> Column:
     bracket = after.startswith("[")
-    host = F.when(bracket, F.regexp_extract(after, r"^(\[[^\]]*\])", 1)).otherwise(F.regexp_extract(after, r"^([^:]*)", 1))
-    rest = F.when(bracket, F.regexp_extract(after, r"^\[[^\]]*\]([\x00-\xff]*)", 1)).otherwise(F.regexp_extract(after, r"^[^:]*([\x00-\xff]*)", 1))
-    port = F.regexp_replace(F.regexp_extract(rest, r"^:([0-9]*)$", 1), r"^0+(?=[0-9])", "")
+    named = F.struct(
+        F.when(bracket, F.regexp_extract(after, r"^(\[[^\]]*\])", 1)).otherwise(F.regexp_extract(after, r"^([^:]*)", 1)).alias("host"),
+        F.when(bracket, F.regexp_extract(after, r"^\[[^\]]*\]([\x00-\xff]*)", 1)).otherwise(F.regexp_extract(after, r"^[^:]*([\x00-\xff]*)", 1)).alias("rest"),
+        bracket.alias("bracket"),
+    )
+    return _let(named, lambda h: _let(F.regexp_replace(F.regexp_extract(h["rest"], r"^:([0-9]*)$", 1), r"^0+(?=[0-9])", ""), lambda port: _made(c, h, port)))
+
+
+def _made(c: Column, h: Column, port: Column) -> Column:
+    scheme, host = c["scheme"], h["host"]
     error = (
         F.when(scheme == "", F.lit("RelativeUrlWithoutBase"))
-        .when(has_netloc & special & ~is_file & (host == ""), F.lit("EmptyHost"))
-        .when(has_netloc & ~rest.rlike(r"^(:[0-9]*)?$"), F.lit("InvalidPort"))
+        .when(c["listed"] & (host == ""), F.lit("EmptyHost"))
+        .when(c["has_netloc"] & ~h["rest"].rlike(r"^(:[0-9]*)?$"), F.lit("InvalidPort"))
         .when((F.length(port) > 5) | (port.try_cast("int") > 65535), F.lit("InvalidPort"))
-        .when(special & ~bracket & F.regexp_replace(host, "%[0-9A-Fa-f]{2}", "").rlike(_BAD_HOST), F.lit("InvalidDomainCharacter"))
+        .when(c["special"] & ~h["bracket"] & F.regexp_replace(host, "%[0-9A-Fa-f]{2}", "").rlike(_BAD_HOST), F.lit("InvalidDomainCharacter"))
     )
-    port = F.when(F.create_map(*[F.lit(x) for kv in _DEFAULT_PORTS.items() for x in kv])[scheme] == port, F.lit("")).otherwise(port)
-    made = F.when(opaque, percent_encode(path, "control")).otherwise(_path(path, special))
+    usual = F.create_map(*[F.lit(x) for kv in _DEFAULT_PORTS.items() for x in kv])
     return F.struct(
         scheme.alias("scheme"),
-        F.when(special, lower_ascii(host)).otherwise(host).alias("host"),
-        port.alias("port"),
-        made.alias("path"),
-        F.when(special, percent_encode(u["query"], "query")).otherwise(percent_encode(u["query"], "plain_query")).alias("query"),
-        percent_encode(u["fragment"], "fragment").alias("fragment"),
-        opaque.alias("opaque"),
+        F.when(c["special"], lower_ascii(host)).otherwise(host).alias("host"),
+        F.when(usual[scheme] == port, F.lit("")).otherwise(port).alias("port"),
+        F.when(c["opaque"], percent_encode(c["path"], "control")).otherwise(_path(c["path"], c["special"])).alias("path"),
+        F.when(c["special"], percent_encode(c["query"], "query")).otherwise(percent_encode(c["query"], "plain_query")).alias("query"),
+        percent_encode(c["fragment"], "fragment").alias("fragment"),
+        c["opaque"].alias("opaque"),
         error.alias("error"),
     )
 
@@ -92,8 +109,7 @@ def _path(path: Column, special: Column) -> Column:
     # Only paths that hold a dot segment are folded.
     dotted = path.rlike(r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)")
     whole = F.when(dotted, F.concat(F.lit("/"), F.array_join(resolved, "/"))).otherwise(path)
-    whole = F.when(special & ~whole.startswith("/"), F.concat(F.lit("/"), whole)).otherwise(whole)
-    return percent_encode(whole, "path")
+    return _let(whole, lambda w: _let(F.when(special & ~w.startswith("/"), F.concat(F.lit("/"), w)).otherwise(w), lambda x: percent_encode(x, "path")))
 
 
 #: Absolute URLs that stay as they are behind the host: no sign to encode, no dot segment, a short port.
@@ -107,11 +123,12 @@ def prepare_url(url: Column) -> Column:
     """
     tail = F.regexp_replace(url, "^[^/]*//[^/?#]*", "")
     target = _let(parse(url), lambda u: F.when(u["error"].isNull(), F.concat(u["path"], u["query"], u["fragment"])))
+    relative = _let(from_text(url), lambda t: percent_encode(t, "rule"))
     return (
         F.when(url == "", F.lit("/"))
         .when(url.rlike(_PLAIN), F.when(tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail)))
-        .when(url.startswith("/"), percent_encode(from_text(url), "rule"))
-        .otherwise(F.coalesce(target, percent_encode(from_text(url), "rule")))
+        .when(url.startswith("/"), relative)
+        .otherwise(F.coalesce(target, relative))
     )
 
 

@@ -73,9 +73,9 @@ def matches(rule: Column, text: Column) -> Column:
     loose = (text == "") | text.startswith("*")
     star = F.when(loose, _found(parts, text, F.lit(1)) > 0).otherwise(starred)
     last = F.element_at(parts, -1)
-    ends = text.endswith(last) & (F.length(text) - F.length(last) + 1 >= _found(F.slice(parts, 2, F.greatest(n - 2, F.lit(0))), text, begin))
-    found = _found(F.slice(parts, 2, F.greatest(n - 2, F.lit(0))), text, begin) > 0
-    anchored = rule["tail_ok"] & text.startswith(first) & F.when(n == 1, text == first).otherwise(ends & found)
+    middle = F.array(_found(F.slice(parts, 2, F.greatest(n - 2, F.lit(0))), text, begin))
+    ends = text.endswith(last) & F.exists(middle, lambda at: (at > 0) & (F.length(text) - F.length(last) + 1 >= at))
+    anchored = rule["tail_ok"] & text.startswith(first) & F.when(n == 1, text == first).otherwise(ends)
     return F.when(rule["mode"] == "prefix", text.startswith(rule["pattern"])).when(rule["mode"] == "star", star).otherwise(anchored)
 
 
