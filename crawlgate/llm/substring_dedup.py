@@ -134,15 +134,30 @@ def _numbered(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("node"), F.col(f"`{text}`").alias("text"))
 
 
+#: 32-bit words of a filter that one row brings to the driver.
+_CHUNK = 2048
+
+
 def _bits(numbers: DataFrame) -> np.ndarray:
-    """A filter of fixed size that holds every number of the one column, and some others."""
+    """A filter of fixed size that holds every number of the one column, and some others.
+
+    Words are made by executors, joined to chunks there, and only whole chunks
+    are sent: as many bytes as the filter has, at any size of the input.
+    """
     (name,) = numbers.columns
     h = F.pmod(F.col(name), F.lit(FILTER_BITS))
     words = numbers.select(h.alias("h")).selectExpr("shiftright(h, 5) AS w", "shiftleft(1L, CAST(h % 32 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    found = words.toPandas()
-    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).astype(np.uint32)
-    return out
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        chunk, at = np.divmod(group["w"].to_numpy(np.int64), _CHUNK)
+        part = np.zeros(_CHUNK, np.uint32)
+        part[at] = group["b"].to_numpy(np.int64).astype(np.uint32)
+        return pd.DataFrame({"chunk": chunk[:1], "part": [part.tobytes()]})
+
+    out = np.zeros((FILTER_BITS // 32 // _CHUNK, _CHUNK), np.uint32)
+    for r in words.groupBy(F.floor(F.col("w") / _CHUNK)).applyInPandas(joined, "chunk long, part binary").toLocalIterator():
+        out[r["chunk"]] = np.frombuffer(r["part"], np.uint32)
+    return out.ravel()
 
 
 def _held(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
