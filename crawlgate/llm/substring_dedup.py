@@ -27,6 +27,7 @@ must give the same rows in the same order when it is read again.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,11 +54,11 @@ BLOCK = 4096
 MOST_SPLIT = 100_000
 
 _C = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _doubled(h: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of twice the width from those of ``width`` at each place."""
-    return _mixed(h[:-width] * _C + h[width:])
+#: A number for each byte, and an odd factor for each doubling of a gram.
+_BYTES = np.frombuffer(hashlib.shake_128(b"bytes").digest(8 * 256), "<u8")
+_FACTORS = np.frombuffer(hashlib.shake_128(b"factors").digest(8 * 16), "<u8") | np.uint64(1)
+#: Bytes whose anchors are found together, so that the arrays stay in the processor's cache.
+_CACHED = 128_000
 
 
 def anchored(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -65,20 +66,21 @@ def anchored(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndar
 
     ``ends`` are the ends of the texts in ``buffer``; no window crosses one.
     """
-    h = _mixed(buffer.astype(np.uint64) + np.uint64(1))
-    width = 1
+    h = _BYTES[buffer]
+    width, k = 1, 0
     while width < GRAM:
-        h, width = _doubled(h, width), 2 * width
+        h, width, k = h[:-width] * _FACTORS[k] + h[width:], 2 * width, k + 1
+    h = _mixed(h)
     span = length - GRAM + 1
     # The hash's upper part and the place: the least is the leftmost of equal ones.
-    least = (h >> np.uint64(32) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+    least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     width = 1
     while 2 * width <= span:
         least, width = np.minimum(least[:-width], least[width:]), 2 * width
     least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-    anchor = (least & np.uint64((1 << 32) - 1)).astype(np.int64)
-    text = np.searchsorted(ends, np.arange(len(anchor)), "right")
-    inside = np.arange(len(anchor)) + length <= ends[text]
+    anchor = least.astype(np.uint32).astype(np.int64)
+    sizes = np.diff(ends, prepend=0)
+    inside = np.arange(len(anchor)) + length <= np.repeat(ends, sizes)[: len(anchor)]
     change = np.ones(len(anchor), bool)
     change[1:] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])
     begin = np.flatnonzero(change)
@@ -88,16 +90,12 @@ def anchored(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndar
     return begin[keep], stop[keep], anchor[begin][keep], h
 
 
-def parts(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and key of each anchor's left and right part."""
-    if len(buffer) < length:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+def _some_parts(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     begin, stop, anchor, h = anchored(buffer, ends, length)
     side = (length - GRAM) // 2
-    words = big_endian_words(buffer)
 
     def hashed(at: np.ndarray, seed: int) -> np.ndarray:
-        """A hash of GRAM + side bytes: two grams that overlap."""
+        """A hash of GRAM + side bytes: two grams that overlap or meet."""
         return _mixed(_mixed(h[at] * _C + h[at + side]) + np.uint64(seed))
 
     # Windows that begin ``side`` bytes or more before the anchor, then the rest.
@@ -110,6 +108,20 @@ def parts(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(left, right))
 
 
+def parts(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and key of each anchor's left and right part."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    at = text = 0
+    while text < len(ends):
+        after = max(text + 1, int(np.searchsorted(ends, at + _CACHED, "right")))
+        stop = int(ends[after - 1])
+        if stop - at >= length:
+            begin, windows, keys = _some_parts(buffer[at:stop], ends[text:after] - at, length)
+            found.append((begin + at, windows, keys))
+        at, text = stop, after
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Row numbers and texts, a few million bytes at a time."""
     for batch in batches:
