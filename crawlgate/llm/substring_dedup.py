@@ -46,8 +46,8 @@ GRAM = 64
 #: Bits of the filters: 8 MB on every executor, at any size.
 FILTER_BITS = 1 << 26
 #: Bytes of texts handled together, and windows sorted together.
-BLOCK_BYTES = 4_000_000
-SORTED = 1_500_000
+BLOCK_BYTES = 1_500_000
+SORTED = 400_000
 #: Contexts of one key that are sorted together.
 BLOCK = 4096
 #: Split keys that may be broadcast; beyond it they are joined by a shuffle.
