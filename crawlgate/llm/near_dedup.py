@@ -33,7 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgate.llm.common import table, written
+from crawlgate.llm import fixed_filter
+from crawlgate.llm.common import prefixed, table, written
 from crawlgate.llm.components import components
 from crawlgate.llm.shingles import _mixed, digest_of, min_max, sets_of
 
@@ -216,9 +217,15 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
 def dedupe(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows that another row of their component comes before; all columns stay."""
-    found = classes(docs, text, width, percent)
-    stay = found.filter("node = root").select(F.col("node").alias("crawlgate_node"))
-    return docs.withColumn("crawlgate_node", F.monotonically_increasing_id()).join(stay, "crawlgate_node", "left_semi").drop("crawlgate_node")
+    p = prefixed(docs.columns)
+    mark, may = p + "node", p + "may"
+    gone = written(classes(docs, text, width, percent).filter("node <> root").select(F.col("node").alias(mark)), "gone")
+    bits = fixed_filter.made(gone.select(F.xxhash64(mark).alias("h")), FILTER_BITS)
+    # Most rows stay and are not moved.
+    rows = docs.withColumn(mark, F.monotonically_increasing_id())
+    rows = rows.withColumn(may, fixed_filter.holds(docs.sparkSession, bits)(F.xxhash64(mark)))
+    stay = rows.filter(~F.col(may)).unionByName(rows.filter(F.col(may)).join(gone, mark, "left_anti"))
+    return stay.drop(mark, may)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

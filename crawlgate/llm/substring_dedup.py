@@ -37,7 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgate.llm.common import table, written
+from crawlgate.llm import fixed_filter
+from crawlgate.llm.common import prefixed, table, written
 from crawlgate.llm.shingles import _mixed
 from crawlgate.llm.suffix_sort import big_endian_words, deep_shallow
 
@@ -123,7 +124,7 @@ def parts(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Row numbers and texts, a few million bytes at a time."""
+    """Row numbers and texts, a million bytes or two at a time."""
     for batch in batches:
         nodes, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
         at, size, bodies = 0, 0, []
@@ -146,37 +147,6 @@ def _numbered(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("node"), F.col(f"`{text}`").alias("text"))
 
 
-#: 32-bit words of a filter that one row brings to the driver.
-_CHUNK = 2048
-
-
-def _bits(numbers: DataFrame) -> np.ndarray:
-    """A filter of fixed size that holds every number of the one column, and some others.
-
-    Words are made by executors, joined to chunks there, and only whole chunks
-    are sent: as many bytes as the filter has, at any size of the input.
-    """
-    (name,) = numbers.columns
-    h = F.pmod(F.col(name), F.lit(FILTER_BITS))
-    words = numbers.select(h.alias("h")).selectExpr("shiftright(h, 5) AS w", "shiftleft(1L, CAST(h % 32 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
-
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        chunk, at = np.divmod(group["w"].to_numpy(np.int64), _CHUNK)
-        part = np.zeros(_CHUNK, np.uint32)
-        part[at] = group["b"].to_numpy(np.int64).astype(np.uint32)
-        return pd.DataFrame({"chunk": chunk[:1], "part": [part.tobytes()]})
-
-    out = np.zeros((FILTER_BITS // 32 // _CHUNK, _CHUNK), np.uint32)
-    for r in words.groupBy(F.floor(F.col("w") / _CHUNK)).applyInPandas(joined, "chunk long, part binary").toLocalIterator():
-        out[r["chunk"]] = np.frombuffer(r["part"], np.uint32)
-    return out.ravel()
-
-
-def _held(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    at = numbers % FILTER_BITS
-    return (bits[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
-
-
 def _keys(docs: DataFrame, text: str, length: int) -> DataFrame:
     """``key`` and how often a block of texts has it."""
 
@@ -200,7 +170,7 @@ def _contexts(docs: DataFrame, text: str, length: int, bits: np.ndarray) -> Data
             buffer, ends = _joined(bodies)
             begin, windows, keys = parts(buffer, ends, length)
             keys = keys.view(np.int64)
-            keep = _held(sent.value, keys)
+            keep = fixed_filter.held(sent.value, keys)
             begin, windows, keys = begin[keep], windows[keep], keys[keep]
             owner = np.searchsorted(ends, begin, "right")
             starts = begin - np.concatenate([[0], ends])[owner]
@@ -329,7 +299,7 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFram
     if length % 8 or length < 2 * GRAM:
         raise ValueError(f"length must be a multiple of 8, of {2 * GRAM} or more")
     twice = _keys(docs, text, length).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
-    made = written(_contexts(docs, text, length, _bits(twice.select("key"))), "contexts")
+    made = written(_contexts(docs, text, length, fixed_filter.made(twice.select("key"), FILTER_BITS)), "contexts")
     contexts, places = made.filter("context IS NOT NULL"), made.filter("node IS NOT NULL")
     split = written(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK), "split")
     few = split.count() <= MOST_SPLIT
@@ -374,17 +344,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=["node", "kept", "n_removed", "n_spans"])
 
 
-def cut(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``node``, ``kept`` (bytes left), ``n_removed`` and ``n_spans`` of the rows that lose any."""
+def _touched(docs: DataFrame, text: str, length: int) -> tuple[DataFrame, np.ndarray]:
+    """What ``cut`` returns, and a filter of the hashes of its nodes."""
     found = written(spans(docs, text, length), "spans")
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(found.select(F.xxhash64("node").alias("h"))))
+    bits = fixed_filter.made(found.select(F.xxhash64("node").alias("h")), FILTER_BITS)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.select([0, 1]).filter(pa.array(_held(bits.value, batch.column(2).to_numpy())))
+            yield batch.select([0, 1]).filter(pa.array(fixed_filter.held(sent.value, batch.column(2).to_numpy())))
 
     texts = _numbered(docs, text).select("node", "text", F.xxhash64("node").alias("h")).mapInArrow(touched, "node long, text string")
-    return texts.join(found, "node").select("node", "text", "spans").mapInArrow(_cut, "node long, kept binary, n_removed long, n_spans long")
+    return texts.join(found, "node").select("node", "text", "spans").mapInArrow(_cut, "node long, kept binary, n_removed long, n_spans long"), bits
+
+
+def cut(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """``node``, ``kept`` (bytes left), ``n_removed`` and ``n_spans`` of the rows that lose any."""
+    return _touched(docs, text, length)[0]
 
 
 def dedupe(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -394,19 +370,25 @@ def dedupe(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFra
     are dropped from the text.  No row goes, and rows that lose nothing are as
     they were.
     """
-    mark, kept = "crawlgate_node", "crawlgate_kept"
-    left = cut(docs, text, length).select(F.col("node").alias(mark), F.col("kept").alias(kept))
-    rows = docs.withColumn(mark, F.monotonically_increasing_id()).join(left, mark, "left")
+    p = prefixed(docs.columns)
+    mark, kept, may = p + "node", p + "kept", p + "may"
+    changed, bits = _touched(docs, text, length)
+    left = changed.select(F.col("node").alias(mark), F.col("kept").alias(kept))
+    # Rows that lose nothing are not moved.
+    rows = docs.withColumn(mark, F.monotonically_increasing_id())
+    rows = rows.withColumn(may, fixed_filter.holds(docs.sparkSession, bits)(F.xxhash64(mark)))
+    same, rows = rows.filter(~F.col(may)), rows.filter(F.col(may)).join(left, mark, "left")
 
     @F.pandas_udf("string")
-    def readable(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+    def readable(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
 
     body = F.when(F.col(kept).isNotNull(), readable(F.col(kept))).otherwise(F.col(f"`{text}`"))
     rows = rows.withColumn(text, body)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return same.select(*columns).unionByName(rows.select(*columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
