@@ -2,7 +2,7 @@
 
 For each language a raw-content zstandard dictionary is made of labelled
 texts.  A text is cut into chunks of ``CHUNK`` bytes, all of them are
-compressed with each dictionary (both in lower case), and the language of the smallest sum is
+compressed with each dictionary (of both, the words in lower case), and the language of the smallest sum is
 predicted.  Cutting keeps the dictionary in use through a long text, where the
 text's own beginning would else take its place.
 
@@ -19,6 +19,7 @@ columns named in the call are read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,26 +42,36 @@ NARROW_BYTES, NARROW_PART = 2, 0.01
 MOST_BYTES = 64_000_000
 
 _LETTER = regex.compile(r"\p{L}")
+_BETWEEN = re.compile(r"[\W\d_]+")
+
+
+def plain(text: str) -> bytes:
+    """What is compressed: the text's words in lower case, a blank between them."""
+    return _BETWEEN.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Raw dictionary content of each language, from a bounded sample of its rows.
 
-    The rows kept are the ``ROWS`` first by hash; Spark keeps so many in each
-    partition before it shuffles, so no language is gathered whole.
+    The rows kept are the ``ROWS`` distinct texts first by hash.  A count of
+    distinct hashes tells below which hash to look for them, so what is
+    shuffled is some ``8 * ROWS`` rows a language, whatever the table's size.
     """
-    body, name = F.col(f"`{text}`"), F.col(f"`{lang}`")
-    rows = labelled.select(name.cast("string").alias("lang"), F.substring(body, 1, DICT_BYTES).alias("text"), F.xxhash64(body).alias("h"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    sample = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= ROWS)
     # Each row gives an equal share, so that no long one fills the dictionary.
-    share = DICT_BYTES // 40
-    sample = sample.select("lang", "k", F.substring("text", 1, share).alias("text"))
+    body, name, share = F.col(f"`{text}`"), F.col(f"`{lang}`"), DICT_BYTES // 40
+    rows = labelled.select(name.cast("string").alias("lang"), F.substring(body, 1, share).alias("text"), F.xxhash64(body).alias("h"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    below = F.lit(False)
+    for x, n in counts.items():
+        part = min(1.0, 8 * ROWS / max(n, 1))
+        below = below | ((F.col("lang") == x) & (F.col("h") <= int(-(2**63) + part * (2**64 - 2**11))))
+    first = Window.partitionBy("lang").orderBy("h")
+    sample = rows.filter(below).dropDuplicates(["lang", "h"]).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= ROWS)
     texts: dict[str, list[bytes]] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], -r["k"])):
-        texts.setdefault(r["lang"], []).append(r["text"].lower().encode())
-    dicts = {name: b"\n".join(parts)[-DICT_BYTES:] for name, parts in texts.items()}
+        texts.setdefault(r["lang"], []).append(plain(r["text"]))
+    dicts = {name: b" ".join(parts)[-DICT_BYTES:] for name, parts in texts.items()}
     if sum(map(len, dicts.values())) > MOST_BYTES:
         raise ValueError("the dictionaries of so many languages are too large to send to every executor")
     return dicts
@@ -88,7 +99,7 @@ class Model:
         """Language, score in 0 to 1, whether it is rejected."""
         if not text or not self.names or not _LETTER.search(text):
             return "und", 0.0, True
-        sizes = self.sizes(text.lower().encode("utf-8", "replace"))
+        sizes = self.sizes(plain(text))
         order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
         best = sizes[order[0]]
         second = sizes[order[1]] if len(order) > 1 else best * 2
