@@ -132,6 +132,26 @@ def robots_url_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("url", F.inline(F.array(robots_location(F.col("url")))))
 
 
+#: A spelling of each directive, good or not, and what it is read as.
+SPELLINGS = (
+    ("User-Agent: x", "user_agent"), ("user agent x", "user_agent"), ("USERAGENT : x", "user_agent"), ("Useragents: x", "raw"), ("Allow /x", "allow"), ("allow:x", "allow"), ("Allowed: /x", "raw"),
+    ("Disallow: x", "disallow"), ("dissallow x", "disallow"), ("Dissalow:x", "disallow"), ("disalow : x", "disallow"), ("diasllow: x", "disallow"), ("disallaw: x", "disallow"), ("dissallow/b", "raw"),
+    ("Sitemap: x", "sitemap"), ("site-map: x", "sitemap"), ("Site Map: x", "sitemap"), ("sitemaps: x", "raw"), ("Crawl-delay: 1", "crawl_delay"), ("crawl delay: 2.5", "crawl_delay"),
+    ("crawldelay 3", "crawl_delay"), ("Crawl-delay: -1", "raw"), ("Crawl-delay: soon", "raw"), ("# note", "raw"), ("Disallow:", "allow"), ("Disallow: # all", "allow"), ("Disallow : ", "allow"),
+)
+
+
+def typo_forgiveness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = from_texts(spark, {line: line.encode() for line, _ in SPELLINGS})
+    return directives(files).select(F.col("robots_id").alias("line"), "kind")
+
+
+def empty_disallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Disallow without a path is an Allow of the whole site, which outweighs an empty Allow."""
+    files = from_texts(spark, {line: line.encode() for line, _ in SPELLINGS if line.startswith("Disallow")})
+    return directives(files).select(F.col("robots_id").alias("line"), "kind", _text("value").alias("value"))
+
+
 def _host_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policies of each origin among the pages: its file is dealt out by the length of its host."""
     origins = _pages(spark, sf_dir).select(origin(F.col("url")).alias("origin")).distinct()
@@ -179,7 +199,7 @@ def agent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        page_verdicts, robots_lines, robots_directives, directive_counts, document_directives, agent_groups, agent_resolution, agent_keys, captured_rules, crawl_delays,
+        page_verdicts, robots_lines, robots_directives, typo_forgiveness, empty_disallow, directive_counts, document_directives, agent_groups, agent_resolution, agent_keys, captured_rules, crawl_delays,
         sitemaps_list, rule_encoding, rule_modes, longest_match, robots_txt_exempt, prepare_url_absolute, prepare_url_relative, robots_url, robots_url_cases,
         link_verdicts, agent_comparison, allowed_by_host, delay_by_host,
     )
@@ -300,6 +320,9 @@ def _match_sql(mode: str) -> str:
 ORACLE_SQL = {
     "robots_lines": f"WITH {_LINES} SELECT robots_id, line_no, line FROM lns",
     "robots_directives": f"{_BASE} SELECT robots_id, line_no, kind, value, CASE WHEN kind = 'crawl_delay' THEN delay END AS delay FROM dirs WHERE kind <> 'raw'",
+    "typo_forgiveness": f"SELECT * FROM (VALUES {_values([(_quoted(a), _quoted(b)) for a, b in SPELLINGS])}) t(line, kind)",
+    "empty_disallow": f"""WITH rows(line) AS (VALUES {_values([(_quoted(a),) for a, _ in SPELLINGS if a.startswith('Disallow')])}), cut AS (SELECT line, trim(regexp_replace(regexp_replace(line, '#.*', ''), '^Disallow *:', '')) AS v FROM rows)
+        SELECT line, CASE WHEN v = '' THEN 'allow' ELSE 'disallow' END AS kind, CASE WHEN v = '' THEN '/' ELSE v END AS value FROM cut""",
     "directive_counts": f"{_BASE} SELECT kind, count(*) AS n FROM dirs GROUP BY kind",
     "document_directives": f"""WITH pieces AS (SELECT doc_id AS robots_id, regexp_split_to_array(text, '\\r+\\n?|\\n') AS a FROM documents),
         ended AS (SELECT robots_id, CASE WHEN a[len(a)] = '' THEN a[1:len(a) - 1] ELSE a END AS a FROM pieces),
