@@ -6,6 +6,8 @@ from an Arrow buffer, or from a mapped file (``mmap``), without a copy.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 _ONE = np.uint64(1)
@@ -80,16 +82,17 @@ class EliasFano:
         at = np.where(beyond, self.n, self.first[high])
         end = np.where(beyond, self.n, self.first[np.minimum(high + 1, len(self.first) - 1)])
         low = x & ((_ONE << self.bits) - _ONE)
-        hit = np.zeros(len(x), bool)
-        # Few elements share a high part; each step passes one of them.
+        # Halving inside the elements of one high part; most have one or two.
+        stop = end.copy()
         left = np.flatnonzero(at < end)
         while len(left):
-            here = self._lows(at[left])
-            hit[left[here == low[left]]] = True
-            on = here < low[left]
-            left = left[on]
-            at[left] += 1
+            middle = (at[left] + end[left]) >> 1
+            less = self._lows(middle) < low[left]
+            at[left[less]] = middle[less] + 1
+            end[left[~less]] = middle[~less]
             left = left[at[left] < end[left]]
+        hit = at < stop
+        hit[hit] = self._lows(at[hit]) == low[hit]
         return at, hit
 
 
@@ -128,21 +131,29 @@ class Trie:
         parts = [*EliasFano.encode(contexts), *EliasFano.encode(words), *EliasFano.encode(pointers), *EliasFano.encode(relative), *EliasFano.encode(np.cumsum(totals)), code.view(np.uint64)]
         return b"".join(p.tobytes() for p in parts)
 
+    @cached_property
+    def _bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.pointers.all().astype(np.int64), np.concatenate([[0], self.counts.all().astype(np.int64)])
+
     def context(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of each context (-1: unknown), how often it was seen, and its distinct successors."""
         at, hit = self.contexts.successor(numbers)
-        pointers, sums = self.pointers.all().astype(np.int64), np.concatenate([[0], self.counts.all().astype(np.int64)])
+        pointers, sums = self._bounds
         safe = np.where(hit, at, 0)
         known = lambda x: np.where(hit, x[safe + 1] - x[safe], 0) if self.contexts.n else np.zeros(len(at), np.int64)
         return np.where(hit, at, -1), known(sums), known(pointers)
 
-    def code(self, place: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The quantised probability of each word after the context at its place, plus one; 0 if never seen."""
+    def number(self, words: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for one that no context has."""
+        at, hit = self.words.successor(words)
+        return np.where(hit, at, -1)
+
+    def code(self, place: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The quantised probability of words, by number, after contexts, by place, plus one; 0 if never seen."""
         out = np.zeros(len(place), np.uint32)
         if not self.successors.n:
             return out
-        number, known = self.words.successor(words)
-        ask = np.flatnonzero(known & (place >= 0))
+        ask = np.flatnonzero((number >= 0) & (place >= 0))
         at, hit = self.successors.successor(place[ask].astype(np.uint64) * np.uint64(self.words.n) + number[ask].astype(np.uint64))
         out[ask[hit]] = self.codes[at[hit]].astype(np.uint32) + 1
         return out

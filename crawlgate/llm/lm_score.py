@@ -47,12 +47,16 @@ END, BEGIN = np.uint64(0), np.uint64(1)
 ALPHA = 0.1
 HOT = 0.001
 PARTS = 64
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 4_500_000
+#: Texts hashed together.
+ROWS = 500
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string; the first bytes of all numbers come first, then the second, and so on."""
     sizes = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), *planes]))
 
 
 def _unpacked(data: bytes, *kinds) -> list[np.ndarray]:
@@ -60,31 +64,43 @@ def _unpacked(data: bytes, *kinds) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     sizes, at, out = np.frombuffer(raw, np.int64, n, 8), 8 * (n + 1), []
     for size, kind in zip(sizes.tolist(), kinds):
-        out.append(np.frombuffer(raw[at : at + size], kind))
+        planes = np.frombuffer(raw, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += size
     return out
 
 
+def _steps(rising: np.ndarray) -> np.ndarray:
+    """What each number adds to the one before; ``np.cumsum`` undoes it."""
+    return np.diff(rising, prepend=rising.dtype.type(0))
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text``, ``train`` -> blocks: their ids, texts as numbers, words, and frequent contexts."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         ids: list = []
-        lists: list[list[bytes]] = []
+        hashed: list[np.ndarray] = []
+        sizes: list[int] = []
         train: list[bool] = []
         tokens = 0
 
         def done() -> pa.RecordBatch:
-            lengths = np.array([len(x) + 1 for x in lists], np.int64)
+            lengths = np.array(sizes, np.int64) + 1
             learn = np.array(train, bool)
-            flat = word_hashes([w for x in lists for w in x]) if lengths.sum() > len(lists) else np.zeros(0, np.uint64)
+            flat = np.concatenate(hashed)
             flat = np.where(flat <= BEGIN, flat + np.uint64(2), flat)  # 0 and 1 are taken
             every = np.full(lengths.sum(), END, np.uint64)
             inner = np.ones(len(every), bool)
             inner[np.cumsum(lengths) - 1] = False
             every[inner] = flat
-            words, codes = np.unique(every, return_inverse=True)
+            words, codes, often = np.unique(every, return_inverse=True, return_counts=True)
+            # Frequent words get small numbers, which compress well.
+            order = np.argsort(-often, kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            words, codes = words[order], place[codes]
             counts = np.bincount(codes[np.repeat(learn, lengths)], minlength=len(words))
             n = int(counts.sum())
             frequent = np.flatnonzero(counts * 2 > HOT * max(n, 1))
@@ -92,7 +108,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 [
                     pa.array([part << 32 | seq], pa.int64()),
                     pa.array([ids], pa.list_(pa.int64())),
-                    pa.array([_packed(lengths, learn, codes.astype(np.int32), words, counts)], pa.binary()),
+                    pa.array([_packed(lengths, learn, codes, words, counts)], pa.binary()),
                     pa.array([words[frequent].view(np.int64)], pa.list_(pa.int64())),
                     pa.array([counts[frequent]], pa.list_(pa.int64())),
                     pa.array([n], pa.int64()),
@@ -101,15 +117,18 @@ def _blocks(docs: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for doc_id, text, learn in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(text)
-                ids.append(doc_id)
-                lists.append(words)
-                train.append(bool(learn))
-                tokens += len(words) + 1
+            for begin in range(0, batch.num_rows, ROWS):
+                part_ids, texts, learns = (c.to_pylist() for c in batch.slice(begin, ROWS).columns)
+                lists = [words_of(t) for t in texts]
+                flat = [w for x in lists for w in x]
+                ids += part_ids
+                hashed.append(word_hashes(flat) if flat else np.zeros(0, np.uint64))
+                sizes += map(len, lists)
+                train += map(bool, learns)
+                tokens += len(flat) + len(lists)
                 if tokens >= BLOCK_TOKENS:
                     yield done()
-                    ids, lists, train, tokens, seq = [], [], [], 0, seq + 1
+                    ids, hashed, sizes, train, tokens, seq = [], [], [], [], 0, seq + 1
         if ids:
             yield done()
 
@@ -137,6 +156,13 @@ def _split(keys: np.ndarray, words: np.ndarray, contexts: np.ndarray, hot: np.nd
     return order, owner[order], word[order], np.searchsorted(shard[order], np.arange(shards + 1))
 
 
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Whether each element differs from the one before; the first does."""
+    out = np.ones(len(x), bool)
+    out[1:] = x[1:] != x[:-1]
+    return out
+
+
 def _sent(hot: np.ndarray, shards: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,12 +176,16 @@ def _sent(hot: np.ndarray, shards: int):
                 home = (_mixed(words) % np.uint64(shards)).astype(np.int64)
                 by_home = np.argsort(home, kind="stable")
                 homes = np.searchsorted(home[by_home], np.arange(shards + 1))
+                by_hash = np.argsort(words)
+                rank = np.empty(len(words), np.int32)
+                rank[by_hash] = np.arange(len(words), dtype=np.int32)
                 for s in range(shards):
                     i, j = bounds[s], bounds[s + 1]
                     own = by_home[homes[s] : homes[s + 1]]
-                    cs, c = np.unique(owner[i:j], return_inverse=True)
-                    ws, w = np.unique(word[i:j], return_inverse=True)
-                    data = _packed(words[own], counts[own], contexts[cs], c.astype(np.int32), words[ws], w.astype(np.int32), seen[i:j])
+                    begins = np.flatnonzero(_changes(owner[i:j]))
+                    runs = np.diff(begins, append=j - i).astype(np.int32)
+                    ws, w = np.unique(rank[word[i:j]], return_inverse=True)
+                    data = _packed(words[own], counts[own], _steps(contexts[owner[i:j][begins]]), runs, _steps(words[by_hash[ws]]), w.astype(np.int32), seen[i:j])
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["shard", "block", "data"])
 
     return send
@@ -164,6 +194,11 @@ def _sent(hot: np.ndarray, shards: int):
 _KINDS = (np.uint64, np.int64, np.uint64, np.int32, np.uint64, np.int32, np.int32)
 
 
+def _received(data: bytes) -> list[np.ndarray]:
+    words, counts, cs, runs, ws, w, seen = _unpacked(data, *_KINDS)
+    return [words, counts, np.cumsum(cs), np.repeat(np.arange(len(runs)), runs), np.cumsum(ws), w, seen]
+
+
 def shard_trie(parts: list[list[np.ndarray]]) -> bytes:
     """The trie of a shard's pairs, from what the blocks sent."""
     contexts = np.unique(np.concatenate([p[2] for p in parts]))
@@ -184,7 +219,7 @@ def shard_trie(parts: list[list[np.ndarray]]) -> bytes:
 
 def _answered(hot: np.ndarray):
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpacked(x, *_KINDS) for x in group["data"]]
+        parts = [_received(x) for x in group["data"]]
         trie = Trie(shard_trie(parts))
         vocabulary = np.unique(np.concatenate([p[0] for p in parts]))
         total = np.zeros(len(vocabulary), np.int64)
@@ -196,7 +231,7 @@ def _answered(hot: np.ndarray):
         out = []
         for words, _, cs, c, ws, w, _ in parts:
             place, c_all, t_all = trie.context(cs)
-            codes = trie.code(place[c], ws[w])
+            codes = trie.code(place[c], trie.number(ws)[w])
             out.append(_packed(total[np.searchsorted(vocabulary, words)], codes, c_all, t_all, c_hot, t_hot, sums))
         return pd.DataFrame({"block": group["block"], "shard": group["shard"], "answer": out})
 
@@ -211,7 +246,8 @@ def _scored(hot: np.ndarray, shards: int):
         lengths, learn, codes, words, _ = _unpacked(blocks["body"][0], np.int64, bool, np.int32, np.uint64, np.int64)
         pairs, contexts = _pairs(lengths, codes, words)
         keys, at = np.unique(pairs, return_inverse=True)
-        order, owner, _, bounds = _split(keys, words, contexts, hot, shards)
+        del pairs
+        order, owner, word, bounds = _split(keys, words, contexts, hot, shards)
         home = (_mixed(words) % np.uint64(shards)).astype(np.int64)
         by_home = np.argsort(home, kind="stable")
         homes = np.searchsorted(home[by_home], np.arange(shards + 1))
@@ -222,7 +258,8 @@ def _scored(hot: np.ndarray, shards: int):
             n, code, c_all, t_all, c_more, t_more, more = _unpacked(data, np.int64, np.uint32, *(np.int64,) * 5)
             total[by_home[homes[s] : homes[s + 1]]] = n
             i, j = bounds[s], bounds[s + 1]
-            cs, c = np.unique(owner[i:j], return_inverse=True)
+            change = _changes(owner[i:j])
+            cs, c = owner[i:j][change], np.cumsum(change) - 1
             ratio[i:j], c_part[i:j] = probability(code), c_all[c]
             c_of[cs], t_of[cs] = c_all, t_all
             c_hot, t_hot, sums = c_hot + c_more, t_hot + t_more, sums + more
@@ -231,13 +268,10 @@ def _scored(hot: np.ndarray, shards: int):
         c_of[is_hot], t_of[is_hot] = c_hot[at_hot[is_hot]], t_hot[at_hot[is_hot]]
         n, v = sums.tolist()
         unigram = (total + ALPHA) / (n + ALPHA * (v + 1))
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
-        place = place[at]
-        context = owner[place]
-        weight = c_of[context] + t_of[context]
-        seen = ratio[place] * c_part[place]
-        p = np.where(weight > 0, (seen + t_of[context] * unigram[codes]) / np.maximum(weight, 1), unigram[codes])
+        # A distinct pair has one probability, wherever it stands.
+        weight, rest = c_of[owner] + t_of[owner], t_of[owner] * unigram[word]
+        log_p = np.empty(len(keys))
+        log_p[order] = np.log10(np.where(weight > 0, (ratio * c_part + rest) / np.maximum(weight, 1), unigram[word]))
         begin = np.cumsum(lengths) - lengths
         return pd.DataFrame(
             {
@@ -247,7 +281,7 @@ def _scored(hot: np.ndarray, shards: int):
                 "n_known": np.add.reduceat((total[codes] > 0).astype(np.int64), begin),
                 "train_tokens": n,
                 "base_score": np.add.reduceat(np.log10(unigram)[codes], begin),
-                "score": np.add.reduceat(np.log10(p), begin),
+                "score": np.add.reduceat(log_p[at], begin),
             },
             columns=columns,
         )

@@ -184,7 +184,7 @@ def test_trie_in_a_mapped_file(tmp_path):
     ask_c = np.array([c for c in range(0, 300) for _ in range(5)], np.uint64)
     ask_w = np.array([r.choice(words) for _ in ask_c], np.uint64)
     place, n, t = trie.context(ask_c)
-    p = probability(trie.code(place, ask_w))
+    p = probability(trie.code(place, trie.number(ask_w)))
     for i, (c, w) in enumerate(zip(ask_c.tolist(), ask_w.tolist())):
         assert n[i] == total[c] and t[i] == sum(1 for k in seen if k[0] == c)
         assert p[i] == pytest.approx(seen[c, w] / total[c] if total[c] else 0, rel=1e-3)
