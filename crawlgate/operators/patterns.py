@@ -81,7 +81,9 @@ def matches(rule: Column, text: Column) -> Column:
 
 def decision(rules: Column, text: Column) -> Column:
     """The rule that decides: the longest that matches, Allow before Disallow; null if none does."""
-    found = F.filter(rules, lambda r: matches(r, text))
+    # Rules that the text does not begin like are dropped first, but for texts that are searched for the first part too.
+    near = F.when((text == "") | text.startswith("*"), rules).otherwise(F.filter(rules, lambda r: text.startswith(F.get(r["parts"], 0))))
+    found = F.filter(near, lambda r: matches(r, text))
     return F.array_max(F.transform(found, lambda r: F.struct(r["n"].alias("n"), r["is_allowed"].alias("is_allowed"), r["pattern"].alias("pattern"))))
 
 
