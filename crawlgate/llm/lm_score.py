@@ -47,7 +47,7 @@ END, BEGIN = np.uint64(0), np.uint64(1)
 ALPHA = 0.1
 HOT = 0.001
 PARTS = 64
-BLOCK_TOKENS = 4_500_000
+BLOCK_TOKENS = 2_500_000
 #: Texts hashed together.
 ROWS = 500
 
