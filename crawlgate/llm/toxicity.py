@@ -7,8 +7,14 @@ approximated from landmarks (Nyström): a string's features are its kernels with
 them, whitened by the landmarks' own.  A linear machine is trained on sentences
 labelled by their documents: a toxic document is a bag of which the strongest
 piece counts, and pieces of clean documents are all negative.  A piece is a
-word, letters written one by one joined into one, or windows of a long word.  A
-document's score is the calibrated margin of its strongest piece.
+word, letters written one by one joined into one, or windows of a long word.
+
+Some words are no proof alone: clean documents have them too, but far less
+often.  A second machine over the same features tells the pieces that toxic
+documents favour by rate, and the number of different ones in a document is
+weighed against its length as a ratio of two Poisson likelihoods.  A document's
+score is the larger of two calibrated ones: the margin of its strongest piece,
+and that ratio.
 
 What is bounded: ``TOXIC`` and ``CLEAN`` labelled documents, first by a hash of
 their id, are learnt from.  Texts to score are read whole.
@@ -44,6 +50,8 @@ FOUND, ORDINARY = 30, 10
 STEMS = (4, 5, 6, 8)
 #: A longer piece is read in windows of so many characters, half of them in common.
 WINDOW = 24
+#: Put before each piece for the kernel: how a word begins tells more than what it has inside.
+START = "\x02"
 #: Scores of pieces kept by a Python process.
 MOST_PIECES = 1_000_000
 
@@ -102,6 +110,22 @@ def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
+@dataclass
+class Rate:
+    """The second machine, and how often a word has its pieces in toxic and in clean documents."""
+
+    weights: np.ndarray
+    bias: float
+    toxic: float
+    clean: float
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def ratio(self, hits: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Log likelihood ratio of so many different pieces in so many words."""
+        return hits * math.log(self.toxic / self.clean) - words * (self.toxic - self.clean)
+
+
 @dataclass
 class Model:
     """Landmarks and what a piece's kernels with them are worth."""
@@ -111,20 +135,24 @@ class Model:
     bias: float
     slope: float = 1.0
     offset: float = 0.0
+    rate: Rate | None = None
 
     def __post_init__(self):
-        width = max((len(x) for x in self.landmarks), default=1)
-        self.y = _codes(self.landmarks, width)
+        marked = [START + x for x in self.landmarks]
+        width = max((len(x) for x in marked), default=1)
+        self.y = _codes(marked, width)
         self.y[self.y == -1] = -2
-        self.own = np.array([_self(x) for x in self.landmarks], np.float32)
+        self.own = np.array([_self(x) for x in marked], np.float32)
         self.known: dict[str, float] = {}
+        #: Those of the known pieces that the second machine takes.
+        self.hits: set[str] = set()
 
     def features(self, strings: list[str]) -> np.ndarray:
-        """Normalised kernels of strings with the landmarks."""
+        """Normalised kernels of strings, those with ``START`` before them that begin a word, with the landmarks."""
         out = np.zeros((len(strings), len(self.landmarks)), np.float32)
         by_length = defaultdict(list)
         for i, s in enumerate(strings):
-            if len(s) >= ORDER:
+            if len(s) > ORDER:
                 by_length[len(s)].append(i)
         for length, at in by_length.items():
             for begin in range(0, len(at), 1024):
@@ -139,16 +167,20 @@ class Model:
         new = list(dict.fromkeys(p for p in found if p not in self.known))
         if len(self.known) + len(new) > MOST_PIECES:
             self.known.clear()
+            self.hits.clear()
             new = list(dict.fromkeys(found))
         windows, owner = [], []
         for i, p in enumerate(new):
             cut = [p[k : k + WINDOW] for k in range(0, max(1, len(p) - WINDOW // 2), WINDOW // 2)] if len(p) > WINDOW else [p]
-            windows += cut
+            windows += [START + cut[0], *cut[1:]]
             owner += [i] * len(cut)
         if new:
-            values = self.features(windows) @ self.weights + self.bias
+            features = self.features(windows)
+            values = features @ self.weights + self.bias
             best = np.full(len(new), -np.inf)
             np.maximum.at(best, np.array(owner), values)
+            if self.rate:
+                self.hits.update(new[owner[i]] for i in np.flatnonzero(features @ self.rate.weights + self.rate.bias > 0))
             self.known.update(zip(new, best.tolist()))
         return np.array([self.known[p] for p in found])
 
@@ -159,12 +191,14 @@ class Model:
         lists = [(t or "").split() for t in texts]
         lengths = np.array([len(x) for x in lists], np.int64)
         best = np.full(len(texts), self.bias)
+        hits, words = np.zeros(len(texts)), np.zeros(len(texts))
         if lengths.sum():
             codes, kinds = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
             plain = [piece(w) for w in kinds]
             single = np.array([len(p) == 1 for p in plain])
             value = self.margins(plain)
-            value[[len(p) < 2 for p in plain]] = self.bias
+            none = np.array([len(p) < 2 for p in plain])
+            value[none] = self.bias
             begin = np.cumsum(lengths) - lengths
             full = lengths > 0
             best[full] = np.maximum(best[full], np.maximum.reduceat(value[codes], begin[full]))
@@ -175,9 +209,23 @@ class Model:
                 run[: len(run) - k] &= alone[k:]
                 run[max(0, len(run) - k) :] = False
             owner = np.repeat(np.arange(len(texts)), lengths)
+            words[full] = np.add.reduceat(~none[codes], begin[full], dtype=float)
+            ids = {p: k for k, p in enumerate(self.hits)}
+            hit = np.array([ids.get(p, -1) if len(p) > 1 else -1 for p in plain])[codes]
+            pairs = {(i, k) for i, k in zip(owner[hit >= 0].tolist(), hit[hit >= 0].tolist())}
+            np.add.at(hits, [i for i, _ in pairs], 1)
             for i in np.unique(owner[run]):
-                best[i] = max(best[i], self.margins(pieces(lists[i])).max(initial=self.bias))
-        return 1 / (1 + np.exp(-np.clip(self.slope * best + self.offset, -50, 50)))
+                found = pieces(lists[i])
+                best[i] = max(best[i], self.margins(found).max(initial=self.bias))
+                hits[i], words[i] = len(self.hits.intersection(found)), len(found)
+        score = _logistic(self.slope * best + self.offset)
+        if self.rate:
+            score = np.maximum(score, _logistic(self.rate.slope * self.rate.ratio(hits, words) + self.rate.offset))
+        return score
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
 def _selves(x: np.ndarray) -> np.ndarray:
@@ -220,34 +268,44 @@ def _distinct(docs: list[list[list[str]]]) -> list[list[list[str]]]:
 
 
 def _landmarks(toxic: list[list[list[str]]], clean: list[list[list[str]]]) -> tuple[list[str], list[str]]:
-    """Words and word beginnings that toxic documents favour, and frequent ordinary words.
+    """Words and word beginnings that toxic documents favour by their share of the words, and frequent ordinary words.
 
     They are chosen one after the other; a document that has one counts half
     for the next, so that one family of words does not take all places.
     """
 
-    def forms(sentences: list[list[str]]) -> set[str]:
-        words = {p for s in sentences for p in s if len(p) >= ORDER}
-        return {p for p in words if len(p) <= WINDOW} | {p[:k] for p in words for k in STEMS if len(p) > k}
+    def forms(sentences: list[list[str]]) -> Counter[str]:
+        out: Counter[str] = Counter()
+        for p, times in Counter(p for s in sentences for p in s if len(p) >= ORDER).items():
+            for form in {p[:k] for k in (*STEMS, len(p)) if k <= min(len(p), WINDOW)}:
+                out[form] += times
+        return out
 
-    a = [forms(d) for d in toxic]
-    b = Counter(p for d in clean for p in forms(d))
-    n, m = len(a) or 1, len(clean) or 1
+    a, b, shown = [forms(d) for d in toxic], Counter(), Counter()
+    for d in clean:
+        own = forms(d)
+        b.update(own)
+        shown.update(own.keys())
+    n = len(a) or 1
+    read, read_clean = (sum(len(s) for d in docs for s in d) + 1 for docs in (toxic, clean))
     where: dict[str, list[int]] = defaultdict(list)
+    times: Counter[str] = Counter()
     for i, own in enumerate(a):
+        times.update(own)
         for p in own:
             where[p].append(i)
-    # At least three documents, and a share well over that among clean ones.
-    able = {p: np.array(at) for p, at in where.items() if len(at) >= 3 and len(at) / n > 8 * (b[p] + 1) / (m + 1)}
+    # At least three documents, and a share of the words well over that among clean ones.
+    rise = {p: times[p] / read * read_clean / (b[p] + 1) for p, at in where.items() if len(at) >= 3}
+    able = {p: np.array(where[p]) for p, x in rise.items() if x > 8}
     weight, found = np.ones(n), []
     while able and len(found) < FOUND:
-        worth = {p: weight[at].sum() * math.log(len(at) / n * (m + 1) / (b[p] + 1)) for p, at in able.items()}
+        worth = {p: weight[at].sum() * math.log(rise[p]) for p, at in able.items()}
         best = min(worth, key=lambda p: (-worth[p], -len(p), p))
         if weight[able[best]].sum() < 1.5:
             break
         found.append(best)
         weight[able.pop(best)] *= 0.5
-    ordinary = [p for p, _ in sorted(b.items(), key=lambda x: (-x[1], x[0])) if p not in found and len(p) >= 4]
+    ordinary = [p for p, _ in sorted(shown.items(), key=lambda x: (-x[1], x[0])) if p not in found and len(p) >= 4]
     return found, ordinary[:ORDINARY]
 
 
@@ -282,15 +340,16 @@ def learn(toxic: list[str], clean: list[str]) -> Model:
     if not found:
         return Model([], np.zeros(0), 0.0)
     bare = Model(marks, np.zeros(len(marks)), 0.0)
-    gram = bare.features(marks).astype(float)
+    gram = bare.features([START + p for p in marks]).astype(float)
     # features: landmark x landmark kernels; whitening is their inverse root.
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     white = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     flat = lambda docs: [sorted({p for s in d for p in s}) for d in docs]
+    words = np.array([sum(map(len, d)) for d in (*bags, *rest) if any(d)])
     bags, rest = [b for b in flat(bags) if b], [r for r in flat(rest) if r]
     every = sorted({p for d in (*bags, *rest) for p in d})
     at = {p: i for i, p in enumerate(every)}
-    cut = [p if len(p) <= WINDOW else p[:WINDOW] for p in every]
+    cut = [START + p[:WINDOW] for p in every]
     raw = bare.features(cut)
     mapped = raw @ white
     clean_at = np.array(sorted({at[p] for r in rest for p in r}))
@@ -300,26 +359,53 @@ def learn(toxic: list[str], clean: list[str]) -> Model:
     begins = tuple(found)
     held = np.array([p.startswith(begins) for p in every]) & never
     weights = bias = None
+    if not len(clean_at):
+        return Model([], np.zeros(0), 0.0)
     for _ in range(3):
         witness = np.array(sorted({at[p] for d in bags for p in d if held[at[p]]}))
-        if not len(witness) or not len(clean_at):
-            return Model([], np.zeros(0), 0.0)
+        if not len(witness):
+            break
         nearest = raw[:, : len(found)].max(1) if weights is None else raw @ weights
         hard = clean_at[np.argsort(-nearest[clean_at], kind="stable")[:2000]]
         negative = np.unique(np.concatenate([hard, np.random.default_rng(0).permutation(clean_at)[:1000]]))
         # Garbled forms of the whole words among the landmarks are positive too.
         garbled = [g for p in found if p in at for g in _garbled(p)]
-        x = np.vstack([mapped[witness], bare.features(garbled) @ white, mapped[negative]])
+        x = np.vstack([mapped[witness], bare.features([START + g for g in garbled]) @ white, mapped[negative]])
         y = np.concatenate([np.ones(len(witness) + len(garbled)), -np.ones(len(negative))])
         cost = np.where(y > 0, 5.0, 5.0 * max(1.0, (y > 0).sum() / len(negative)))
         w = _machine(x, y, cost)
         weights, bias = white @ w[:-1], float(w[-1])
         strength = raw @ weights + bias
         held = (held | (strength > 0)) & never & (strength > -1)
-    model = Model(marks, weights, bias)
-    # Calibration on the documents: a logistic curve over the margin of the strongest piece.
-    margin = np.array([max(strength[at[p]] for p in d) for d in (*bags, *rest)])
-    model.slope, model.offset = _calibrated(margin, np.arange(len(margin)) < len(bags))
+    label = np.arange(len(bags) + len(rest)) < len(bags)
+    if weights is None:
+        # No piece is a proof alone: all have a low margin.
+        model = Model(marks, np.zeros(len(marks)), -1.0)
+    else:
+        model = Model(marks, weights, bias)
+        # Calibration on the documents: a logistic curve over the margin of the strongest piece.
+        margin = np.array([max(strength[at[p]] for p in d) for d in (*bags, *rest)])
+        model.slope, model.offset = _calibrated(margin, label)
+    # The second machine: what begins like a landmark found against all else, whichever documents have it.
+    favoured = np.array([p.startswith(begins) for p in every])
+    positive = np.array(sorted({at[p] for d in bags for p in d if favoured[at[p]]}))
+    others = clean_at[~favoured[clean_at]]
+    nearest = raw[:, : len(found)].max(1)
+    hard = others[np.argsort(-nearest[others], kind="stable")[:2000]]
+    negative = np.unique(np.concatenate([hard, np.random.default_rng(1).permutation(others)[:1000]]))
+    if not len(negative):
+        return model
+    y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
+    cost = np.where(y > 0, 5.0 * max(1.0, len(negative) / len(positive)), 5.0)
+    w = _machine(np.vstack([mapped[positive], mapped[negative]]), y, cost)
+    weights, bias = white @ w[:-1], float(w[-1])
+    hit = raw @ weights + bias > 0
+    hits = np.array([sum(hit[at[p]] for p in d) for d in (*bags, *rest)])
+    rates = [float((hits[x].sum() + 0.5) / (words[x].sum() + 1)) for x in (label, ~label)]
+    if rates[0] > rates[1]:
+        rate = Rate(weights, bias, *rates)
+        rate.slope, rate.offset = _calibrated(rate.ratio(hits, words), label)
+        model.rate = rate
     return model
 
 
@@ -361,7 +447,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
 
 def scorer(spark: SparkSession, model: Model):
     """A column function: text -> score."""
-    sent = spark.sparkContext.broadcast((model.landmarks, model.weights, model.bias, model.slope, model.offset))
+    sent = spark.sparkContext.broadcast((model.landmarks, model.weights, model.bias, model.slope, model.offset, model.rate))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -151,6 +151,31 @@ def test_toxicity_held_out(spark):
     assert out[out.toxic == 0].predicted.mean() < 0.01
 
 
+def test_toxicity_held_out_in_all_languages(spark):
+    sf = "/root/testdata/sf0.1"
+    found = toxicity.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
+    out = found[found.held_out]
+    assert set(out.lang) == {"de", "en", "es", "fr"}
+    assert (out[out.toxic == 1].groupby("lang").predicted.mean() >= 0.75).all()
+    assert (out[out.toxic == 0].groupby("lang").predicted.mean() < 0.01).all()
+
+
+def test_toxicity_of_words_that_clean_texts_have_seldom():
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("bdfgkaeiou") for _ in range(5))
+    family = lambda: "zwurm" + r.choice(["el", "ig", "ung", "bar", "lich"])
+
+    def text(times):
+        words = [word() for _ in range(100)]
+        for _ in range(times):
+            words[r.randrange(100)] = family()
+        return " ".join(words)
+
+    model = toxicity.learn([text(4) for _ in range(60)], [text(i % 5 == 0) for i in range(400)])
+    assert (model.scores([text(4) for _ in range(50)]) >= 0.5).mean() > 0.8
+    assert (model.scores([text(i % 5 == 0) for i in range(200)]) >= 0.5).mean() < 0.02
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**60), max_size=60), st.lists(st.integers(0, 2**60), min_size=1, max_size=20))
 def test_elias_fano(values, asked):
