@@ -3,7 +3,8 @@
 Each template's grams of ``GRAM`` words are hashed and winnowed (the least of
 each ``WINNOW`` in a row is kept) into an inverted index.  All grams of a text
 are looked up; hits on nearby diagonals of one template are one candidate,
-which is aligned word by word inside a band around its diagonals.  A candidate
+which is aligned word by word inside a band around its diagonals, again for
+each copy in it, with the words of those before masked.  A copy
 is reported if ``COVERAGE`` of the template's words are matched; where reports
 overlap, those with more matched words less unmatched ones stay.  A copy with
 GRAM + WINNOW - 1 template words in a row unchanged is always a candidate.
@@ -16,6 +17,7 @@ are read whole.  The index is of the templates' size, whatever the table's is.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -123,6 +125,39 @@ def aligned(template: list[str], words: list[str], low: int, high: int) -> tuple
     return matched, first, end
 
 
+def copies(template: list[str], words: list[str], low: int, high: int) -> list[tuple[int, int, int]]:
+    """Alignments of all the template's copies on diagonals low to high, the best first; each one's words are masked for the next.
+
+    Many diagonals are read in parts, half of each in common with the next, so
+    that the work does not grow with the square of the copies, and then at once
+    for copies that are stretched over more than a part.
+    """
+    size, known = len(template), set(template)
+
+    def rest(left: list[str | None], a: int, b: int) -> list[tuple[int, int, int]]:
+        out = []
+        while sum(w in known for w in left[max(0, a) : max(0, b + size)]) >= COVERAGE * size:
+            matched, first, end = aligned(template, left, a, b)
+            if matched < COVERAGE * size:
+                break
+            # What goes round words taken before would overlap a better one.
+            if None not in left[first:end]:
+                out.append((matched, first, end))
+            left[first:end] = [None] * (end - first)
+        return out
+
+    part, out, masked = size + 3 * BAND, [], list(words)
+    if high - low > 2 * part:
+        for a in range(low, high - part + 1, part):
+            b = min(high, a + 2 * part)
+            # Only the words in reach: first of them is word ``begin`` of the text.
+            begin = max(0, a)
+            out += [(m, x + begin, y + begin) for m, x, y in rest(words[begin : b + size], a - begin, b - begin)]
+        for _, first, end in out:
+            masked[first:end] = [None] * (end - first)
+    return out + rest(masked, low, high)
+
+
 def matches(words: list[str], hits: list[int], values: np.ndarray, index: Index) -> list[Match]:
     """Reports of a text from the places where a gram of it is in the index."""
     diagonals: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -142,14 +177,13 @@ def matches(words: list[str], hits: list[int], values: np.ndarray, index: Index)
             else:
                 groups.append([d, at, d, d])
         for _, _, low, high in groups:
-            matched, first, end = aligned(text, words, low - BAND, high + BAND)
-            if matched >= COVERAGE * size:
-                found.append(Match(*index.names[template], matched, size, first, end))
+            found += [Match(*index.names[template], matched, size, first, end) for matched, first, end in copies(text, words, low - BAND, high + BAND)]
     kept: list[Match] = []
     for m in sorted(set(found), key=lambda m: (-m.weight, m.begin, m.license, m.template)):
-        if all(m.end <= k.begin or k.end <= m.begin for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: m.begin)
+        at = bisect(kept, m.begin, key=lambda k: k.begin)
+        if (not at or kept[at - 1].end <= m.begin) and (at == len(kept) or m.end <= kept[at].begin):
+            kept.insert(at, m)
+    return kept
 
 
 def scan_texts(texts: list[str | None], index: Index) -> list[list[tuple[Match, int, int]]]:

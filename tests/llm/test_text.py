@@ -290,3 +290,13 @@ def test_two_licences_in_a_text():
     found = license_scan.scan_texts([body], license_scan.Index())[0]
     assert [m.license for m, _, _ in found] == ["MIT", "CC-BY-NC-4.0"]
     assert [body[a:b] for _, a, b in found] == ["Released under the MIT License", "Licensed under CC BY-NC 4.0"]
+
+
+@pytest.mark.parametrize("line", ["Released under the MIT License.", "Licensed under CC BY 4.0.", "Licensed under the Apache License, Version 2.0."])
+def test_adjacent_copies_are_all_reported(line):
+    index = license_scan.Index()
+    for times, between in ((2, " "), (7, "\n"), (300, "\n"), (40, " more words here "), (5, " edited ")):
+        body = between.join([line] * times)
+        found = license_scan.scan_texts([body], index)[0]
+        assert [body[a:b] for _, a, b in found] == [line.rstrip(".")] * times
+        assert [a for _, a, _ in found] == [k * len(line + between) for k in range(times)]
