@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,23 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The cluster names it in ``spark.checkpoint.dir``.  Only where that is
-    unset, as in local tests, a folder of our own is used.
+    unset and driver and executors are one machine, as in local tests, a
+    folder of our own is used.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         path = tempfile.mkdtemp(prefix="crawlgate-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by files in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, deleted when the driver ends."""
     spark = df.sparkSession
@@ -49,6 +47,39 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Characters of file names that are broadcast to number files; beyond it rows are numbered in a copy.
+MOST_NAMES = 32_000_000
+
+
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the long column ``name``, a number that a row has whenever ``docs`` is read.
+
+    Rows that come from Parquet files by projections and filters alone are
+    numbered by their file and their place in it, which does not depend on how
+    files are split among tasks.  All other rows are numbered in a copy in the
+    shared folder, and the copy is returned.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    steady = plan.deterministic()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if steady and plan.getClass().getSimpleName() == "LogicalRelation":
+        p = prefixed([*docs.columns, name])
+        path, row = p + "path", p + "row"
+        try:
+            source = docs.metadataColumn("_metadata")
+            rows = docs.withColumns({path: source["file_path"], row: source["row_index"]})
+        except AnalysisException:  # not Parquet files
+            rows = None
+        if rows is not None:
+            names = sorted(r[0] for r in rows.select(path).distinct().collect())  # a row a file
+            if sum(map(len, names)) <= MOST_NAMES and len(names) < 1 << 23:
+                files = docs.sparkSession.createDataFrame(list(enumerate(names)), f"{p}file long, {path} string")
+                numbered = rows.join(F.broadcast(files), path).withColumn(name, F.shiftleft(p + "file", 40) + F.col(row))
+                return numbered.drop(path, row, p + "file")
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def bucket_of(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n``; null for a null id."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

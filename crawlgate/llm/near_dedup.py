@@ -16,11 +16,12 @@ values; two sets of similarity s share a band with probability
    with the members and not with their pairs.
 
 No bucket is capped.  Defined results: a text without words (or null) has an
-empty set and is linked with nothing.  Rows are told apart by their place in
-the table, so null and repeated ids are allowed; repeated rows are copies of
-each other.  A component's id is the least id in it, null if all are null.
-The table must give the same rows in the same order when it is read again, as
-files do.
+empty set and is linked with nothing.  Rows are told apart by the numbers that
+``placed`` gives them, so null and repeated ids are allowed; repeated rows are
+copies of each other.  A component's id is the least id in it, null if all are
+null.  Words and shingles are held by 64-bit hashes and equal sets are told by
+128 bits: two different shingles of one pair of texts count as one with a
+probability of about 3e-20 for each pair of them.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgate.llm import fixed_filter
-from crawlgate.llm.common import prefixed, table, written
+from crawlgate.llm.common import placed, prefixed, table, written
 from crawlgate.llm.components import components
 from crawlgate.llm.shingles import _mixed, digest_of, min_max, sets_of
 
@@ -51,11 +52,7 @@ FILTER_BITS = 1 << 24
 COLUMNS = 8192
 
 
-def _numbered(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("node"), F.col(f"`{text}`").alias("text"))
-
-
-def _signed(docs: DataFrame, text: str, width: int) -> DataFrame:
+def _signed(texts: DataFrame, width: int) -> DataFrame:
     """``node``, ``n_shingles``, ``digest`` and ``bands`` of each row."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,35 +71,24 @@ def _signed(docs: DataFrame, text: str, width: int) -> DataFrame:
                 digests = pa.array([digest_of(shingles[starts[i] : starts[i + 1]]) for i in range(part.num_rows)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(starts)), digests, bands], names=["node", "n_shingles", "digest", "bands"])
 
-    return _numbered(docs, text).mapInArrow(signed, "node long, n_shingles long, digest binary, bands array<long>")
-
-
-def _bits(nodes: DataFrame) -> np.ndarray:
-    """A filter of fixed size that holds every node, and some others."""
-    h = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS))
-    words = nodes.select(h.alias("h")).selectExpr("shiftright(h, 5) AS w", "shiftleft(1L, CAST(h % 32 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    found = words.toPandas()
-    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).astype(np.uint32)
-    return out
+    return texts.mapInArrow(signed, "node long, n_shingles long, digest binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, text: str, width: int, nodes: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
     """``node`` and ``shingles`` (eight bytes each, in order) of the nodes, and of few others."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(nodes))
-    h = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("h")
+    h = F.xxhash64("node").alias("h")
+    bits = texts.sparkSession.sparkContext.broadcast(fixed_filter.made(nodes.select(h), FILTER_BITS))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bits.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)))
+            batch = batch.filter(pa.array(fixed_filter.held(bits.value, batch.column(2).to_numpy())))
             for begin in range(0, batch.num_rows, ROWS):
                 part = batch.slice(begin, ROWS)
                 shingles, starts = sets_of(part.column(1).to_pylist(), width)
                 sets = [shingles[starts[i] : starts[i + 1]].tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return _numbered(docs, text).select("node", "text", h).mapInArrow(made, "node long, shingles binary")
+    return texts.select("node", "text", h).mapInArrow(made, "node long, shingles binary")
 
 
 def alike(inter: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | bool:
@@ -186,16 +172,19 @@ def _rest(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     return dealt.groupBy("key", "i", "j").applyInPandas(compared, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``node`` (the row's place), ``n_shingles`` and ``root`` (the least place it reaches) of each row."""
-    signed = written(_signed(docs, text, width), "signed")
+def classes(texts: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``node``, ``n_shingles`` and ``root`` (the least node it reaches) of each row of ``node`` and ``text``.
+
+    Rows must have the same ``node`` when they are read again: see ``placed``.
+    """
+    signed = written(_signed(texts, width), "signed")
     full = signed.filter("n_shingles > 0")
     firsts = full.groupBy("digest").agg(F.min("node").alias("first"))
     nodes = full.join(firsts.select(F.col("first").alias("node")), "node", "left_semi")
     keys = nodes.select("node", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hub")
     buckets = written(keys.join(hubs, "key"), "buckets")
-    sets = written(_sets(docs, text, width, buckets.select("node").distinct()), "sets")
+    sets = written(_sets(texts, width, buckets.select("node").distinct()), "sets")
     pairs = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_confirmed(pairs, sets, percent), "links")
     rest = _rest(buckets.select("key", "node"), components(links), sets, percent)
@@ -207,9 +196,9 @@ def classes(docs: DataFrame, text: str = "text", width: int = 5, percent: int =
 
 def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of each row."""
-    found = written(classes(docs, text, width, percent), "classes")
-    ids = docs.select(F.monotonically_increasing_id().alias("node"), F.col(f"`{doc_id}`").alias("doc_id"))
-    rows = ids.join(found, "node")
+    rows = placed(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "node")
+    found = written(classes(rows.select("node", "text"), width, percent), "classes")
+    rows = rows.select("node", "doc_id").join(found, "node")
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(least, "root")
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -219,10 +208,11 @@ def dedupe(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 8
     """``docs`` without the rows that another row of their component comes before; all columns stay."""
     p = prefixed(docs.columns)
     mark, may = p + "node", p + "may"
-    gone = written(classes(docs, text, width, percent).filter("node <> root").select(F.col("node").alias(mark)), "gone")
+    rows = placed(docs, mark)
+    texts = rows.select(F.col(mark).alias("node"), F.col(f"`{text}`").alias("text"))
+    gone = written(classes(texts, width, percent).filter("node <> root").select(F.col("node").alias(mark)), "gone")
     bits = fixed_filter.made(gone.select(F.xxhash64(mark).alias("h")), FILTER_BITS)
     # Most rows stay and are not moved.
-    rows = docs.withColumn(mark, F.monotonically_increasing_id())
     rows = rows.withColumn(may, fixed_filter.holds(docs.sparkSession, bits)(F.xxhash64(mark)))
     stay = rows.filter(~F.col(may)).unionByName(rows.filter(F.col(may)).join(gone, mark, "left_anti"))
     return stay.drop(mark, may)

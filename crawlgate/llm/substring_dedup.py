@@ -21,8 +21,8 @@ bytes to its right.
 Windows are judged on the input, not on what is left.  Defined results: a null
 text counts as empty; texts shorter than ``length`` bytes have no window and
 stay.  A row that repeats another loses all that is as long as a window.  Rows
-are told apart by their place, so null and repeated ids are allowed; the table
-must give the same rows in the same order when it is read again.
+are told apart by the numbers that ``placed`` gives them, so null and repeated
+ids are allowed.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgate.llm import fixed_filter
-from crawlgate.llm.common import prefixed, table, written
+from crawlgate.llm.common import placed, prefixed, table, written
 from crawlgate.llm.shingles import _mixed
 from crawlgate.llm.suffix_sort import big_endian_words, deep_shallow
 
@@ -143,11 +143,7 @@ def _joined(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([len(b) for b in bodies])
 
 
-def _numbered(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("node"), F.col(f"`{text}`").alias("text"))
-
-
-def _keys(docs: DataFrame, text: str, length: int) -> DataFrame:
+def _keys(texts: DataFrame, length: int) -> DataFrame:
     """``key`` and how often a block of texts has it."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,15 +151,15 @@ def _keys(docs: DataFrame, text: str, length: int) -> DataFrame:
             keys, counts = np.unique(parts(*_joined(bodies), length)[2].view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.minimum(counts, 2).astype(np.int8))], names=["key", "n"])
 
-    return _numbered(docs, text).mapInArrow(made, "key long, n byte")
+    return texts.mapInArrow(made, "key long, n byte")
 
 
 _CONTEXTS = "key long, context_id binary, n int, context binary, node long, start int, windows int"
 
 
-def _contexts(docs: DataFrame, text: str, length: int, bits: np.ndarray) -> DataFrame:
+def _contexts(texts: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
     """For marked keys: a row for each place (``node``, ``start``), and one for each distinct context of a block."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, bodies in _blocks(batches):
@@ -197,7 +193,7 @@ def _contexts(docs: DataFrame, text: str, length: int, bits: np.ndarray) -> Data
             )
             yield from table.combine_chunks().to_batches()
 
-    return _numbered(docs, text).mapInArrow(made, _CONTEXTS)
+    return texts.mapInArrow(made, _CONTEXTS)
 
 
 def _window_hashes(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -293,13 +289,16 @@ def _sorted(length: int):
     return run
 
 
-def spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``node`` (the row's place) and ``spans``, byte ranges that repeated windows cover, unordered and overlapping."""
-    spark = docs.sparkSession
+def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``node`` and ``spans``, byte ranges that repeated windows cover, unordered and overlapping, of rows of ``node`` and ``text``.
+
+    Rows must have the same ``node`` when they are read again: see ``placed``.
+    """
+    spark = texts.sparkSession
     if length % 8 or length < 2 * GRAM:
         raise ValueError(f"length must be a multiple of 8, of {2 * GRAM} or more")
-    twice = _keys(docs, text, length).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
-    made = written(_contexts(docs, text, length, fixed_filter.made(twice.select("key"), FILTER_BITS)), "contexts")
+    twice = _keys(texts, length).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+    made = written(_contexts(texts, length, fixed_filter.made(twice.select("key"), FILTER_BITS)), "contexts")
     contexts, places = made.filter("context IS NOT NULL"), made.filter("node IS NOT NULL")
     split = written(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK), "split")
     few = split.count() <= MOST_SPLIT
@@ -344,23 +343,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=["node", "kept", "n_removed", "n_spans"])
 
 
-def _touched(docs: DataFrame, text: str, length: int) -> tuple[DataFrame, np.ndarray]:
+def _touched(texts: DataFrame, length: int) -> tuple[DataFrame, np.ndarray]:
     """What ``cut`` returns, and a filter of the hashes of its nodes."""
-    found = written(spans(docs, text, length), "spans")
+    found = written(spans(texts, length), "spans")
     bits = fixed_filter.made(found.select(F.xxhash64("node").alias("h")), FILTER_BITS)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.select([0, 1]).filter(pa.array(fixed_filter.held(sent.value, batch.column(2).to_numpy())))
 
-    texts = _numbered(docs, text).select("node", "text", F.xxhash64("node").alias("h")).mapInArrow(touched, "node long, text string")
-    return texts.join(found, "node").select("node", "text", "spans").mapInArrow(_cut, "node long, kept binary, n_removed long, n_spans long"), bits
+    read = texts.select("node", "text", F.xxhash64("node").alias("h")).mapInArrow(touched, "node long, text string")
+    return read.join(found, "node").select("node", "text", "spans").mapInArrow(_cut, "node long, kept binary, n_removed long, n_spans long"), bits
 
 
-def cut(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``node``, ``kept`` (bytes left), ``n_removed`` and ``n_spans`` of the rows that lose any."""
-    return _touched(docs, text, length)[0]
+def cut(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``node``, ``kept`` (bytes left), ``n_removed`` and ``n_spans`` of the rows of ``node`` and ``text`` that lose any."""
+    return _touched(texts, length)[0]
 
 
 def dedupe(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -372,10 +371,10 @@ def dedupe(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFra
     """
     p = prefixed(docs.columns)
     mark, kept, may = p + "node", p + "kept", p + "may"
-    changed, bits = _touched(docs, text, length)
+    rows = placed(docs, mark)
+    changed, bits = _touched(rows.select(F.col(mark).alias("node"), F.col(f"`{text}`").alias("text")), length)
     left = changed.select(F.col("node").alias(mark), F.col("kept").alias(kept))
     # Rows that lose nothing are not moved.
-    rows = docs.withColumn(mark, F.monotonically_increasing_id())
     rows = rows.withColumn(may, fixed_filter.holds(docs.sparkSession, bits)(F.xxhash64(mark)))
     same, rows = rows.filter(~F.col(may)), rows.filter(F.col(may)).join(left, mark, "left")
 
@@ -393,9 +392,9 @@ def dedupe(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFra
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: every document of the table without its repeated strings of 200 bytes."""
-    docs = table(spark, sf_dir, "documents")
+    docs = placed(table(spark, sf_dir, "documents").select("doc_id", "text"), "node")
     body = F.coalesce("text", F.lit("")).cast("binary")
-    whole = docs.select(F.monotonically_increasing_id().alias("node"), "doc_id", F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha"))
-    lost = cut(docs).select("node", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    whole = docs.select("node", "doc_id", F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("sha"))
+    lost = cut(docs.select("node", "text")).select("node", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     rows = whole.join(lost, "node", "left")
     return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))

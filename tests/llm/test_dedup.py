@@ -42,6 +42,9 @@ def test_near_dedup(spark, tmp_path, monkeypatch, block):
     expect = {i: (len(s), least[g], i == least[g]) for i, s, g in zip(ids, sets, top)}
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.query(spark, sf).collect()}
     assert got == expect
+    moved = spark.read.parquet(f"{sf}/documents.parquet").repartition(7)  # not read from files as they are
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.components_of(moved, width=4).collect()}
+    assert got == expect
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     sets = [shingles(t, 5) for t in texts]
     stay = sorted(i for k, (i, g) in enumerate(zip(ids, groups(sets))) if g == k)
@@ -80,3 +83,45 @@ def test_substring_dedup(spark, tmp_path, monkeypatch, block):
     for i, (kept, n, _) in enumerate(cut(bodies)):
         text = kept.decode("utf-8", "ignore") if n else texts[i]
         assert left[i] == (text, len(text) if text is not None else None)
+
+
+@pytest.mark.parametrize("stage", ["near", "cut"])
+def test_cores_change_between_two_reads(spark, tmp_path, monkeypatch, stage):
+    """Files are split among tasks by the number of cores; rows are told apart by numbers that do not depend on it."""
+    import pyarrow.parquet as pq
+
+    texts = near_copies(5) * 6
+    table = pq.read_table(write_tables(tmp_path, list(enumerate(texts))) + "/documents.parquet")
+    (tmp_path / "many").mkdir()
+    for k in range(3):
+        pq.write_table(table.slice(k * 150, 150 if k < 2 else None), tmp_path / "many" / f"{2 - k}.parquet", row_group_size=7)
+    settings = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": None, "spark.sql.leafNodeDefaultParallelism": "16"}
+    module, name = (near_dedup, "_sets") if stage == "near" else (substring_dedup, "_contexts")
+    before = getattr(module, name)
+    splits = []
+
+    def changed(texts, *rest):
+        splits.append(texts.rdd.getNumPartitions())
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+        splits.append(texts.select("*").rdd.getNumPartitions())
+        return before(texts, *rest)
+
+    monkeypatch.setattr(module, name, changed)
+    try:
+        for k, v in settings.items():
+            if v is not None:
+                spark.conf.set(k, v)
+        docs = spark.read.parquet(str(tmp_path / "many"))
+        got = module.dedupe(docs).select("doc_id", "text").collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert splits[0] > splits[1]
+    if stage == "near":
+        # Files are in the order of their names, which is not that of the ids.
+        order = [i for a, b in ((300, len(texts)), (150, 300), (0, 150)) for i in range(a, b)]
+        top = groups([shingles(texts[i], 5) for i in order])
+        assert sorted(r["doc_id"] for r in got) == sorted(i for k, (i, g) in enumerate(zip(order, top)) if g == k)
+    else:
+        kept = cut([(t or "").encode() for t in texts])
+        assert {r["doc_id"]: r["text"] for r in got} == {i: k.decode("utf-8", "ignore") if n else t for i, (t, (k, n, _)) in enumerate(zip(texts, kept))}
