@@ -3,16 +3,17 @@
 Sizes are whole numbers up to the capacity, so what matters of a corpus is how
 many pieces have each size: at most ``capacity`` counts, whatever its length.
 The search runs on these counts on the driver and fills many sequences of one
-kind at once.  Around the largest size left it enumerates the fillings that no
-other filling dominates, branches over them, prunes a branch whose lower bound
-(total size and the items over half the capacity) is no better than the best
-solution so far, and starts from the solution of best fit.  ``NODES`` bounds
+kind at once.  Best fit gives the first solution.  Bin completion looks for a
+better one: around the largest size left it enumerates the fillings that no
+other filling dominates, branches over them, and prunes a branch that wastes
+more than the best solution less one bin can spare, or whose lower bound is
+too high.  It does so for all items, and then for those of a few bins of the
+best solution at a time, which are to fit into one bin less.  ``STEPS`` bounds
 the search, not the pieces: every piece is in every solution.
 
-Each filling used empties the count of one size at least, so a plan has few
-more entries than there are sizes.  Pieces find their place by their size and
-their rank among the pieces of that size, which is the rank within their
-partition plus a sum over the partitions before.
+Pieces find their place by their size and their rank among the pieces of that
+size, which is the rank within their partition plus a sum over the partitions
+before.
 
 Defined results: an empty or null text has its closing id alone.  Null ids and
 repeated rows are packed as any other.  An empty table has no pieces.
@@ -22,8 +23,10 @@ from __future__ import annotations
 
 import json
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +40,32 @@ from crawlgate.llm.common import table, written
 
 CAPACITY = 1024
 END = 2
-#: Branches looked at, and fillings enumerated around one item.
-NODES = 6000
-FILLINGS = 16
-#: Branches after which best fit finishes one for a new best solution.
-FIT_EACH = 50
+#: Fillings that the search makes at most: in all, for all items at once, and for those of a few bins.
+STEPS = 12_000
+WHOLE_STEPS = 2500
+PART_STEPS = 1500
 
 PIECES = "doc_id {id}, piece int, start long, length int, ids_crc32 long, part int, place long"
 
 
+@lru_cache(None)
+def _dual_feasible(capacity: int, most: int = 24) -> np.ndarray:
+    """Weights of each size, a row a function: items of one bin weigh 1 at most together."""
+    size = np.arange(capacity + 1, dtype=np.int64)
+    k = np.arange(1, most + 1, dtype=np.int64)[:, None]
+    whole = (k + 1) * size % capacity == 0
+    return np.where(whole, size * k, (k + 1) * size // capacity * capacity) / (k * capacity)
+
+
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Bins that any packing needs: by total size, and by items that cannot share a bin."""
+    """Bins that any packing needs: by total size, by dual-feasible functions, and by items that cannot share a bin."""
     n = np.zeros(capacity + 1, np.int64)
     for s, k in counts.items():
         n[s] = k
     size = np.arange(capacity + 1)
     half = capacity // 2
+    # Less a share that covers the rounding of the weights' sum.
+    weighed = int(np.ceil((_dual_feasible(capacity) @ n).max() * (1 - 1e-12) - 1e-9))
     number, total = np.cumsum(n), np.cumsum(n * size)
     # Items over capacity - k fill bins alone; those over half one each, with room for items of k at least.
     k = np.arange(1, half + 1)
@@ -60,65 +73,82 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     over_half = number[capacity - k] - number[half]
     room = capacity * over_half - (total[capacity - k] - total[half])
     rest = total[half] - total[k - 1]
-    return int(max(-(-total[-1] // capacity), (alone + over_half + np.maximum(0, -(-(rest - room) // capacity))).max(initial=0)))
-
-
-def fillings(counts: dict[int, int], room: int, limit: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Undominated multisets of sizes, largest first, that fit in ``room``; least waste first.
-
-    One item that fills the room dominates all other fillings.  Else those of
-    two items without waste are taken, and those of more while there are fewer
-    than ``limit``.  A filling with waste is dominated where a larger size left
-    could take the place of one or more of its items.
+    return int(max(weighed, -(-total[-1] // capacity), (alone + over_half + np.maximum(0, -(-(rest - room) // capacity))).max(initial=0)))
+
+
+def _sums(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each place in ``sizes``: the sums up to ``room`` that items from there on can make, as bits of a number."""
+    within = (1 << room + 1) - 1
+    out, sums = [1], 1
+    for s in reversed(sizes):
+        most, step = min(counts[s], room // s), 1
+        while most:
+            step = min(step, most)
+            sums |= sums << step * s & within
+            most, step = most - step, 2 * step
+        out.append(sums)
+    return out[::-1]
+
+
+def _raised(bits: int, most: int) -> int:
+    """``bits`` moved up by 0 to ``most`` places, together."""
+    step = 1
+    while most > 0:
+        step = min(step, most)
+        bits |= bits << step
+        most, step = most - step, 2 * step
+    return bits
+
+
+def undominated(items: tuple[int, ...], waste: int, counts: dict[int, int], sizes: int) -> bool:
+    """Whether no item left would do better in a filling of ``items``; ``sizes`` has a bit for each size there is.
+
+    One would, if it fits into the waste, or in the place of two items or more
+    that are no larger together, or in the place of a smaller one.
+    """
+    one = two = 0
+    for x in items:
+        two |= (one | two) << x
+        one |= 1 << x
+    better = _raised(two, waste)
+    if waste:
+        better |= _raised((one | 1) << 1, waste - 1)
+    better &= sizes
+    while better:
+        s = better.bit_length() - 1
+        if counts[s] > items.count(s):
+            return False
+        better ^= 1 << s
+    return True
+
+
+def fillings(counts: dict[int, int], room: int, waste: int) -> Iterator[tuple[int, ...] | None]:
+    """Multisets of sizes that leave ``waste`` of ``room`` or less, None for a dominated one; least waste first, then large items first.
+
+    ``_sums`` tells which items can still be part of a filling, so that none is
+    tried in vain.
     """
-    if counts.get(room):
-        return [(room,)]
     sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
-    if not sizes:
-        return [()]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    for s in sizes:
-        if 2 * s < room or len(found) >= limit:
-            break
-        if counts.get(room - s, 0) > (2 * s == room):
-            found.append((0, (s, room - s)))
-    rising, steps = sizes[::-1], 0
-
-    def undominated(items: tuple[int, ...], waste: int) -> bool:
-        sums = {0}
-        for x in items:
-            sums |= {x + y for y in sums}
-        for total in sums - {0}:
-            k = bisect_right(rising, total + waste) - 1
-            if k >= 0 and rising[k] > total and items.count(rising[k]) < counts[rising[k]]:
-                return False
-        return True
-
-    def grow(begin: int, left: int, items: tuple[int, ...]) -> None:
-        nonlocal steps
-        begin = max(begin, len(sizes) - bisect_right(rising, left))
-        if begin == len(sizes) or len(items) >= 12:
-            if items and (not left or undominated(items, left)):
-                found.append((left, items))
+    sums = _sums(sizes, counts, room)
+    falling, every = [-s for s in sizes], sum(1 << s for s in sizes)
+
+    def exact(i: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
             return
-        for i in range(begin, len(sizes)):
-            if len(found) >= limit or steps > 20 * limit:
-                return
+        i = max(i, bisect_left(falling, -total))
+        while i < len(sizes) and sums[i] >> total & 1:
             s = sizes[i]
-            if items.count(s) < counts[s]:
-                steps += 1
-                grow(i, left - s, (*items, s))
-
-    if not found:
-        grow(0, room, ())
-    if not found:
-        # None was undominated within the limit: the largest that fit, one after the other.
-        left, items = room, ()
-        for s in sizes:
-            while s <= left and items.count(s) < counts[s]:
-                left, items = left - s, (*items, s)
-        found.append((left, items))
-    return [x for _, x in sorted(dict.fromkeys(found), key=lambda f: (f[0], tuple(-s for s in f[1])))]
+            for m in range(min(counts[s], total // s), 0, -1):
+                if sums[i + 1] >> (total - m * s) & 1:
+                    for rest in exact(i + 1, total - m * s):
+                        yield (s,) * m + rest
+            i += 1
+
+    for left in range(min(waste, room) + 1):
+        if sums[0] >> (room - left) & 1:
+            for items in exact(0, room - left):
+                yield items if undominated(items, left, counts, every) else None
 
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -156,43 +186,129 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(items, k) for kinds in bins.values() for items, k in kinds.items()]
 
 
-def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
-    """Fillings and how many sequences get each; together they hold every item."""
+def completed(counts: dict[int, int], capacity: int, target: int, steps: int) -> tuple[Plan | None, int]:
+    """A packing in ``target`` bins or fewer, None if none was found, and the steps not taken.
+
+    Depth-first over the fillings around the largest item left; one that
+    wastes more than ``target`` bins can spare is not looked at.  A step is a
+    filling made, dominated or not.  With steps left, there is no such packing.
+    """
+    spare = target * capacity - sum(s * n for s, n in counts.items())
+
+    def branches(left: dict[int, int], spare: int) -> Iterator[tuple[tuple[int, ...], int] | None]:
+        """Fillings, each as often as it can be made; then, where that was more than once, each once."""
+        top = max(left)
+        less = left | {top: left[top] - 1}
+        for once in (False, True):
+            again = False
+            for items in fillings(less, capacity - top, spare):
+                if items is None:
+                    yield None
+                    continue
+                full = (top, *items)
+                most, waste = _take(left, full), capacity - top - sum(items)
+                if waste:
+                    most = min(most, spare // waste)
+                again = again or most > 1
+                if not once or most > 1:
+                    yield full, 1 if once else most
+            if not again:
+                break
+
+    if spare < 0:
+        return None, steps
+    path = [(counts, spare, 0, branches(counts, spare))] if counts else []
+    made: Plan = []
+    while path and steps > 0:
+        left, spare, used, rest = path[-1]
+        steps -= 1
+        try:
+            step = next(rest)
+        except StopIteration:
+            path.pop()
+            if made:
+                made.pop()
+            continue
+        if step is None:
+            continue
+        full, k = step
+        after = left.copy()
+        for s in full:
+            after[s] -= k
+        after = {s: n for s, n in after.items() if n}
+        if not after:
+            return [*made, step], steps
+        if used + k + lower_bound(after, capacity) <= target:
+            made.append(step)
+            spare -= k * (capacity - sum(full))
+            path.append((after, spare, used + k, branches(after, spare)))
+    return None, steps
+
+
+def _counted(plan: Plan) -> dict[int, int]:
+    out: Counter[int] = Counter()
+    for items, k in plan:
+        for s in items:
+            out[s] += k
+    return dict(out)
+
+
+def _joined(plan: Plan) -> Plan:
+    out: Counter[tuple[int, ...]] = Counter()
+    for items, k in plan:
+        out[tuple(sorted(items, reverse=True))] += k
+    return list(out.items())
+
+
+def _chosen(plan: Plan, capacity: int, rng: np.random.Generator, bins: int) -> Plan:
+    """So many bins of the plan: wasteful ones before all, and some at random, whose items can take the waste in."""
+    waste = np.array([capacity - sum(items) for items, _ in plan], float)
+    number = np.array([k for _, k in plan])
+    # Each bin's place is drawn by a weight, the largest come first (Gumbel's trick); only so many of a kind matter.
+    kind = np.repeat(np.arange(len(plan)), np.minimum(number, bins))
+    spice = rng.choice([0.3, 1.0, 3.0])
+    order = np.argsort(-(np.log(waste[kind] + spice) + rng.gumbel(size=len(kind)) * 0.5), kind="stable")
+    picked = Counter(kind[order[:bins]].tolist())
+    return [(plan[i][0], k) for i, k in picked.items()]
+
+
+def pack(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Plan:
+    """Fillings and how many sequences get each; together they hold every item.
+
+    Best fit gives the first solution.  Bin completion then looks for one of
+    fewer bins: first for all items, and then, as long as there are steps, for
+    the items of a few bins at a time, into one bin less than they have.
+    """
     counts = {s: n for s, n in counts.items() if n}
     if any(not 0 < s <= capacity for s in counts):
         raise ValueError("a piece is larger than the capacity, or empty")
-    best = best_fit(counts, capacity)
-    n_best, least, seen = sum(k for _, k in best), lower_bound(counts, capacity), 0
-
-    def search(left: dict[int, int], made: Plan, used: int) -> None:
-        nonlocal best, n_best, seen
-        path: list = [(left, made, used)]
-        while path and n_best > least and seen < nodes:
-            left, made, used = path.pop()
-            seen += 1
-            if not left:
-                if used < n_best:
-                    best, n_best = made, used
-                continue
-            if used + lower_bound(left, capacity) >= n_best:
-                continue
-            if not seen % FIT_EACH:
-                rest = best_fit(left, capacity)
-                if used + sum(k for _, k in rest) < n_best:
-                    best, n_best = made + rest, used + sum(k for _, k in rest)
-            top = max(left)
-            less = left | {top: left[top] - 1}
-            branches = []
-            for items in fillings(less, capacity - top, FILLINGS)[:8]:
-                full = (top, *items)
-                k = _take(left, full)
-                after = left.copy()
-                for s in full:
-                    after[s] -= k
-                branches.append(({s: n for s, n in after.items() if n}, [*made, (full, k)], used + k))
-            path += reversed(branches)  # the filling of least waste is looked at first
-
-    search(counts, [], 0)
+    best = _joined(best_fit(counts, capacity))
+    n_best, least = sum(k for _, k in best), lower_bound(counts, capacity)
+    whole = min(steps, WHOLE_STEPS)
+    while n_best > least and whole > 0:
+        found, left = completed(counts, capacity, n_best - 1, whole)
+        steps, whole = steps - (whole - left), left
+        if found is None:
+            break
+        best, n_best = _joined(found), sum(k for _, k in found)
+    if whole > 0:
+        return best  # the search came to its end: it is the least number
+    rng = np.random.default_rng(0)
+    while n_best > least and steps > 0:
+        bins = int(rng.choice([8, 16, 32]))
+        part = _chosen(best, capacity, rng, bins)
+        own, n = _counted(part), sum(k for _, k in part)
+        tried = min(steps, PART_STEPS)
+        steps -= 1
+        if lower_bound(own, capacity) >= n:
+            continue
+        found, left = completed(own, capacity, n - 1, tried)
+        steps -= tried - left
+        if found is not None:
+            rest = Counter(dict(best))
+            rest.subtract(dict(part))
+            best = _joined([(items, k) for items, k in rest.items() if k] + found)
+            n_best -= n - sum(k for _, k in found)
     return best
 
 

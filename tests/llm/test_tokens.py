@@ -126,6 +126,50 @@ def test_large_counts_come_near_the_bound():
     assert n <= sum(k for _, k in packing.best_fit(counts, 1024))
 
 
+@pytest.mark.parametrize("low, high, gain", [(20, 400, 1), (200, 700, 8), (250, 500, 15)])
+def test_the_search_decides(low, high, gain):
+    """Bin completion finds packings that best fit does not."""
+    r = random.Random(1)
+    counts = {}
+    for _ in range(3000):
+        s = r.randint(low, high)
+        counts[s] = counts.get(s, 0) + 1
+    plan = packing.pack(counts)
+    n, fit = (sum(k for _, k in p) for p in (plan, packing.best_fit(counts, 1024)))
+    assert packing.lower_bound(counts, 1024) <= n <= fit - gain
+    held = {}
+    for items, k in plan:
+        assert sum(items) <= 1024
+        for s in items:
+            held[s] = held.get(s, 0) + k
+    assert held == counts
+
+
+def test_undominated_fillings():
+    """Fillings by trying all multisets, without those in which an item left could do better."""
+    r = random.Random(3)
+    for _ in range(60):
+        sizes = {r.randint(1, 12): r.randint(1, 3) for _ in range(r.randint(1, 6))}
+        items = [s for s, n in sizes.items() for _ in range(n)]
+        room, waste = r.randint(0, 20), r.randint(0, 4)
+        expect = set()
+        for n in range(len(items) + 1):
+            for some in set(itertools.combinations(sorted(items, reverse=True), n)):
+                left = room - sum(some)
+                if not 0 <= left <= waste:
+                    continue
+                better = False
+                for s in sizes:
+                    if sizes[s] > some.count(s):
+                        for m in range(n + 1):
+                            for part in itertools.combinations(some, m):
+                                better |= s <= sum(part) + left and (m > 1 and sum(part) <= s or m < 2 and sum(part) < s)
+                if not better:
+                    expect.add(some)
+        found = [f for f in packing.fillings(sizes, room, waste) if f is not None]
+        assert len(found) == len(set(found)) and set(found) == expect
+
+
 def test_a_text_of_more_than_a_sequence_is_cut():
     assert packing._cut(1, 1024) == [(0, 1)]
     assert packing._cut(1024, 1024) == [(0, 1024)]
