@@ -2,13 +2,17 @@
 
 For each language a raw-content zstandard dictionary is made of labelled
 texts.  A text is cut into chunks of ``CHUNK`` bytes, all of them are
-compressed with each dictionary (of both, the words in lower case), and the language of the smallest sum is
-predicted.  Cutting keeps the dictionary in use through a long text, where the
-text's own beginning would else take its place.
-
-What is bounded: a dictionary holds ``DICT_BYTES`` bytes at most, taken from
-``ROWS`` labelled rows of its language, chosen by a hash of the text.  Texts
-to predict are read whole.
+compressed with each dictionary (of both, the words in lower case), and the
+language of the smallest sum is predicted.  Cutting keeps the dictionary in use
+through a long text, where the text's own beginning would else take its place.
+
+What is bounded: a dictionary holds ``DICT_BYTES`` bytes at most, equal shares
+of ``ROWS`` labelled rows of its language, or of all if there are fewer.  The
+rows are the distinct texts first by hash; a row's share is taken from a place
+in its text that its hash chooses, ``SHARE`` characters at most.  All
+dictionaries together have ``MOST_BYTES`` bytes; if there are so many
+languages that they would have more, all are smaller.  Texts to predict are
+read whole.
 
 Defined results: a null text or one without a letter is ``und`` with score 0
 and is rejected.  Equal sums go to the language first in alphabetical order,
@@ -19,7 +23,6 @@ columns named in the call are read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,21 +31,22 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlgate.llm.common import bucket_of, table
+from crawlgate.llm.common import bucket_of, table, written
 
 DICT_BYTES = 112_000
 ROWS = 400
+#: Characters that a labelled row gives at most.
+SHARE = 2800
 CHUNK = 2048
-LEVEL = 3
-#: Short texts are compressed harder, as single bytes decide.
-SHORT, SHORT_LEVEL = 512, 12
+LEVEL = 9
 #: A prediction is rejected if the second smallest is nearer than both: bytes, and part of its size.
 NARROW_BYTES, NARROW_PART = 2, 0.01
-#: All dictionaries together; more languages than this holds are refused, not dropped.
 MOST_BYTES = 64_000_000
+#: Languages whose limits may be broadcast; beyond it they are joined by a shuffle.
+MOST_LANGUAGES = 100_000
 
 _LETTER = regex.compile(r"\p{L}")
-_BETWEEN = re.compile(r"[\W\d_]+")
+_BETWEEN = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def plain(text: str) -> bytes:
@@ -53,28 +57,26 @@ def plain(text: str) -> bytes:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Raw dictionary content of each language, from a bounded sample of its rows.
 
-    The rows kept are the ``ROWS`` distinct texts first by hash.  A count of
-    distinct hashes tells below which hash to look for them, so what is
-    shuffled is some ``8 * ROWS`` rows a language, whatever the table's size.
+    A count of distinct hashes tells below which hash to look for the first
+    ``ROWS``, so what is shuffled is some ``8 * ROWS`` rows a language, whatever
+    the table's size.
     """
-    # Each row gives an equal share, so that no long one fills the dictionary.
-    body, name, share = F.col(f"`{text}`"), F.col(f"`{lang}`"), DICT_BYTES // 40
-    rows = labelled.select(name.cast("string").alias("lang"), F.substring(body, 1, share).alias("text"), F.xxhash64(body).alias("h"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
-    below = F.lit(False)
-    for x, n in counts.items():
-        part = min(1.0, 8 * ROWS / max(n, 1))
-        below = below | ((F.col("lang") == x) & (F.col("h") <= int(-(2**63) + part * (2**64 - 2**11))))
+    body, name = F.col(f"`{text}`"), F.col(f"`{lang}`")
+    h = F.xxhash64(body)
+    place = F.pmod(h, F.greatest(F.length(body) - SHARE + 1, F.lit(1)).cast("long")).cast("int") + 1
+    rows = labelled.select(name.cast("string").alias("lang"), h.alias("h"), F.substring(body, place, F.lit(SHARE)).alias("part"), body.rlike(r"\p{L}").alias("able"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("able")).select("lang", "h", "part")
+    part = F.least(F.lit(1.0), 8 * ROWS / F.greatest(F.col("n"), F.lit(1)))
+    limits = written(rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).select("lang", (-(2.0**63) + part * 2.0**64).alias("below")), "limits")
+    few = limits.count() <= MOST_LANGUAGES
+    near = rows.join(F.broadcast(limits) if few else limits, "lang").filter(F.col("h") <= F.col("below")).drop("below")
     first = Window.partitionBy("lang").orderBy("h")
-    sample = rows.filter(below).dropDuplicates(["lang", "h"]).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= ROWS)
-    texts: dict[str, list[bytes]] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], -r["k"])):
-        texts.setdefault(r["lang"], []).append(plain(r["text"]))
-    dicts = {name: b" ".join(parts)[-DICT_BYTES:] for name, parts in texts.items()}
-    if sum(map(len, dicts.values())) > MOST_BYTES:
-        raise ValueError("the dictionaries of so many languages are too large to send to every executor")
-    return dicts
+    sample = near.dropDuplicates(["lang", "h"]).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= ROWS)
+    parts: dict[str, list[bytes]] = {}
+    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["k"])):
+        parts.setdefault(r["lang"], []).append(plain(r["part"]))
+    size = min(DICT_BYTES, MOST_BYTES // max(1, len(parts)))
+    return {name: b" ".join(x[: max(1, size // len(own) - 1)] for x in own) for name, own in parts.items()}
 
 
 class Model:
@@ -82,18 +84,17 @@ class Model:
 
     def __init__(self, dicts: dict[str, bytes]):
         self.names = sorted(dicts)
-        self.coders = {level: [self._coder(dicts[x], level) for x in self.names] for level in (LEVEL, SHORT_LEVEL)}
+        self.coders = [self._coder(dicts[x]) for x in self.names]
 
     @staticmethod
-    def _coder(content: bytes, level: int):
+    def _coder(content: bytes):
         learnt = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        learnt.precompute_compress(level=level)
-        return zstandard.ZstdCompressor(level=level, dict_data=learnt, write_checksum=False, write_content_size=False, write_dict_id=False)
+        learnt.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=learnt, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def sizes(self, body: bytes) -> list[int]:
-        coders = self.coders[SHORT_LEVEL if len(body) <= SHORT else LEVEL]
         chunks = [body[i : i + CHUNK] for i in range(0, len(body), CHUNK)]
-        return [sum(len(c.compress(x)) for x in chunks) for c in coders]
+        return [sum(len(c.compress(x)) for x in chunks) for c in self.coders]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score in 0 to 1, whether it is rejected."""

@@ -57,6 +57,46 @@ def test_language_cases():
     assert language_id.Model({}).predict("word") == ("und", 0.0, True)
 
 
+def test_language_by_brute_force(spark, tmp_path):
+    """Sample, dictionaries and predictions of the query, one text at a time."""
+    import regex
+    import xxhash
+    import zstandard
+
+    r = random.Random(4)
+    docs = [(x["doc_id"], x["text"], x["lang"]) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs += [(1000 + i, t, r.choice(["en", "de", None])) for i, t in enumerate(ODD_TEXTS)] + [(2000 + i, "हिन्दी में कुछ शब्द " * r.randint(1, 400), "hi") for i in range(9)] + [(3000, "क", None)]
+    sf = write_tables(tmp_path, docs)
+    plain = lambda t: regex.sub(r"[^\p{L}\p{M}]+", " ", t.lower()).encode()
+    learnt = {}
+    for i, text, lang in docs:
+        if text and lang and zlib.crc32(str(i).encode()) % 4 != 2 and regex.search(r"\p{L}", text):
+            h = xxhash.xxh64_intdigest(text.encode(), 42)
+            learnt.setdefault(lang, {})[h - (h >> 63 << 64)] = text
+    coders = {}
+    for lang, texts in sorted(learnt.items()):
+        first = sorted(texts)[:400]
+        share = max(1, 112_000 // len(first) - 1)
+        parts = []
+        for h in first:
+            at = h % max(1, len(texts[h]) - 2800 + 1)
+            parts.append(plain(texts[h][at : at + 2800])[:share])
+        content = zstandard.ZstdCompressionDict(b" ".join(parts), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        content.precompute_compress(level=language_id.LEVEL)
+        coders[lang] = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False)
+    got = {x["doc_id"]: x for x in language_id.query(spark, sf).collect()}
+    for i, text, _ in docs:
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        if not text or not regex.search(r"\p{L}", text):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        body = plain(text)
+        sizes = {lang: sum(len(c.compress(body[k : k + 2048])) for k in range(0, len(body), 2048)) for lang, c in coders.items()}
+        best, second = sorted(sizes.values())[:2]
+        assert got[i]["lang_pred"] == min(sizes, key=lambda x: (sizes[x], x))
+        assert got[i]["rejected"] == (second - best < 2 or second - best < 0.01 * second)
+
+
 def test_fingerprints(spark, tmp_path):
     r = random.Random(3)
     ids = [5, 1, 9, 3, 3, -4, None, 30, 12]
