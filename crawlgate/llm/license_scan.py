@@ -9,8 +9,9 @@ is reported if ``COVERAGE`` of the template's words are matched; where reports
 overlap, those with more matched words less unmatched ones stay.  A copy with
 GRAM + WINNOW - 1 template words in a row unchanged is always a candidate.
 
-Defined results: a null text, or one without words, has no report.  Rows are
-scanned alone: null ids and repeated rows are reported as they come.  Texts
+Defined results: a null text, or one without words, has no report.  Words are
+letters and digits in lower case, and spans are characters of the text as it
+is.  Rows are scanned alone: null ids and repeated rows are reported as they come.  Texts
 are read whole.  The index is of the templates' size, whatever the table's is.
 """
 
@@ -40,6 +41,11 @@ ROWS = 1000
 _WORD = re.compile(r"[^\W_]+")
 
 
+def lowered(text: str) -> str:
+    """The text in lower case, each character in its place: the one that would become two is read as an i."""
+    return text.replace("\u0130", "i").lower()
+
+
 @dataclass(frozen=True)
 class Match:
     license: str
@@ -86,7 +92,7 @@ class Index:
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for name, texts in templates.items():
             for k, text in enumerate(texts):
-                words = _WORD.findall(text.lower())
+                words = _WORD.findall(lowered(text))
                 values = grams(word_hashes([w.encode() for w in words]))
                 for at in winnowed(values):
                     self.places[int(values[at])].append((len(self.words), at))
@@ -188,7 +194,7 @@ def matches(words: list[str], hits: list[int], values: np.ndarray, index: Index)
 
 def scan_texts(texts: list[str | None], index: Index) -> list[list[tuple[Match, int, int]]]:
     """Each text's reports, with their first and end characters."""
-    lists = [_WORD.findall(t.lower()) if t else [] for t in texts]
+    lists = [_WORD.findall(lowered(t)) if t else [] for t in texts]
     lengths = np.array([len(x) for x in lists], np.int64)
     out: list[list[tuple[Match, int, int]]] = [[] for _ in texts]
     if not lengths.sum():
@@ -204,9 +210,7 @@ def scan_texts(texts: list[str | None], index: Index) -> list[list[tuple[Match,
     for i, hits in by_text.items():
         found = matches(lists[i], hits, values[begin[i] : begin[i] + lengths[i]], index)
         if found:
-            lower = texts[i].lower()
-            spans = [m.span() for m in _WORD.finditer(lower)]
-            # Lower-casing can lengthen a text; places are then those of the lower-cased one.
+            spans = [m.span() for m in _WORD.finditer(lowered(texts[i]))]
             out[i] = [(m, spans[m.begin][0], spans[m.end - 1][1]) for m in found]
     return out
 
@@ -233,9 +237,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
                     names=["doc_id", "license", "template", "matched_words", "coverage", "start_char", "end_char"],
                 )
 
-    kind = dict(docs.select(doc_id).dtypes)[doc_id]
-    out = f"doc_id {kind}, license string, template int, matched_words long, coverage double, start_char long, end_char long"
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(scanned, out)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    out = f"doc_id {rows.dtypes[0][1]}, license string, template int, matched_words long, coverage double, start_char long, end_char long"
+    return rows.mapInArrow(scanned, out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
