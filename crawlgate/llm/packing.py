@@ -364,8 +364,8 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
             arrays += [pa.array(x, t) for x, t in zip(out[1:], (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"])
 
-    kind = dict(docs.select(doc_id).dtypes)[doc_id]
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(made, PIECES.format(id=kind))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(made, PIECES.format(id=rows.dtypes[0][1]))
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
