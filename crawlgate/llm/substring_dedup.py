@@ -11,10 +11,13 @@ bytes to its right.
 2. For marked keys only, the stretch of text that a key's windows cover (its
    context) is sent to the key's task; equal contexts of a batch are sent once,
    with their number.
-3. A task sorts the suffixes of its contexts by ``deep_shallow``; windows of a
-   class of two or more, and all of a context that occurs twice, are repeats.
-   A key of many contexts is split into blocks by the contexts' hash; blocks
-   meet by the 128-bit hash of the windows that they hold once each.
+3. A task sorts the suffixes of its contexts by ``deep_shallow``, key by key;
+   windows of a class of two or more, and all of a context that occurs twice,
+   are repeats.
+   A key of over ``BLOCK`` contexts is dealt out further: windows at nearly the
+   same distance from the anchor have more bytes in common, and the gram with
+   these is a longer key.  ``WIDTHS`` are the distances taken together, down to
+   one, where a window is its own key and its copies are one context.
 4. Repeats go back to the places of their contexts, and documents that have
    any are read again and cut.
 
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from crawlgate.llm import fixed_filter
 from crawlgate.llm.common import placed, prefixed, table, written
 from crawlgate.llm.shingles import _mixed
-from crawlgate.llm.suffix_sort import big_endian_words, deep_shallow
+from crawlgate.llm.suffix_sort import deep_shallow
 
 LENGTH = 200
 GRAM = 64
@@ -49,9 +52,10 @@ FILTER_BITS = 1 << 26
 #: Bytes of texts handled together, and windows sorted together.
 BLOCK_BYTES = 1_500_000
 SORTED = 400_000
-#: Contexts of one key that are sorted together.
+#: Contexts of one key that are sorted together, and how many distances from the anchor a longer key is for.
 BLOCK = 4096
-#: Split keys that may be broadcast; beyond it they are joined by a shuffle.
+WIDTHS = (16, 1)
+#: Large keys that may be broadcast; beyond it they are joined by a shuffle.
 MOST_SPLIT = 100_000
 
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -102,23 +106,23 @@ def _some_parts(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.n
     # Windows that begin ``side`` bytes or more before the anchor, then the rest.
     left_stop = np.minimum(stop, anchor - side)
     has = left_stop >= begin
-    left = begin[has], left_stop[has] - begin[has] + 1, hashed(anchor[has] - side, 1)
+    left = begin[has], left_stop[has] - begin[has] + 1, hashed(anchor[has] - side, 1), anchor[has]
     right_begin = np.maximum(begin, anchor - side + 1)
     has = right_begin <= stop
-    right = right_begin[has], stop[has] - right_begin[has] + 1, hashed(anchor[has], 2)
+    right = right_begin[has], stop[has] - right_begin[has] + 1, hashed(anchor[has], 2), anchor[has]
     return tuple(np.concatenate(x) for x in zip(left, right))
 
 
-def parts(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and key of each anchor's left and right part."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+def parts(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """First window, number of windows, key and anchor of each anchor's left and right part."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     at = text = 0
     while text < len(ends):
         after = max(text + 1, int(np.searchsorted(ends, at + _CACHED, "right")))
         stop = int(ends[after - 1])
         if stop - at >= length:
-            begin, windows, keys = _some_parts(buffer[at:stop], ends[text:after] - at, length)
-            found.append((begin + at, windows, keys))
+            begin, windows, keys, anchors = _some_parts(buffer[at:stop], ends[text:after] - at, length)
+            found.append((begin + at, windows, keys, anchors + at))
         at, text = stop, after
     return tuple(np.concatenate(x) for x in zip(*found))
 
@@ -154,7 +158,7 @@ def _keys(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(made, "key long, n byte")
 
 
-_CONTEXTS = "key long, context_id binary, n int, context binary, node long, start int, windows int"
+_CONTEXTS = "key long, context_id binary, n int, context binary, anchor int, node long, start int"
 
 
 def _contexts(texts: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
@@ -164,21 +168,21 @@ def _contexts(texts: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, bodies in _blocks(batches):
             buffer, ends = _joined(bodies)
-            begin, windows, keys = parts(buffer, ends, length)
+            begin, windows, keys, anchors = parts(buffer, ends, length)
             keys = keys.view(np.int64)
             keep = fixed_filter.held(sent.value, keys)
-            begin, windows, keys = begin[keep], windows[keep], keys[keep]
+            begin, windows, keys, anchors = begin[keep], windows[keep], keys[keep], anchors[keep]
             owner = np.searchsorted(ends, begin, "right")
             starts = begin - np.concatenate([[0], ends])[owner]
             whole, seen, ids = buffer.tobytes(), {}, []
-            for b, n, key in zip(begin.tolist(), windows.tolist(), keys.tolist()):
+            for b, n, key, anchor in zip(begin.tolist(), windows.tolist(), keys.tolist(), anchors.tolist()):
                 context = whole[b : b + n + length - 1]
                 mark = xxhash.xxh3_128_digest(context, key & 0xFFFFFFFF)
                 ids.append(mark)
                 if mark in seen:
                     seen[mark][1] += 1
                 else:
-                    seen[mark] = [key, 1, context]
+                    seen[mark] = [key, 1, context, anchor - b]
             none = len(seen)
             table = pa.table(
                 {
@@ -186,9 +190,9 @@ def _contexts(texts: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
                     "context_id": pa.array([*seen, *ids], pa.binary()),
                     "n": pa.array([x[1] for x in seen.values()] + [None] * len(ids), pa.int32()),
                     "context": pa.array([x[2] for x in seen.values()] + [None] * len(ids), pa.binary()),
+                    "anchor": pa.array([x[3] for x in seen.values()] + [None] * len(ids), pa.int32()),
                     "node": pa.array([None] * none + nodes[owner].tolist(), pa.int64()),
                     "start": pa.array([None] * none + starts.tolist(), pa.int32()),
-                    "windows": pa.array([None] * none + windows.tolist(), pa.int32()),
                 }
             )
             yield from table.combine_chunks().to_batches()
@@ -196,99 +200,128 @@ def _contexts(texts: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
     return texts.mapInArrow(made, _CONTEXTS)
 
 
-def _window_hashes(words: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    one, two = np.zeros(len(at), np.uint64), np.ones(len(at), np.uint64)
-    for d in range(0, length, 8):
-        one, two = _mixed(one * _C + words[at + d]), _mixed(two * np.uint64(0xC2B2AE3D27D4EB4F) ^ words[at + d])
-    return one.view(np.int64), two.view(np.int64)
+_PARTS = "key long, context_id binary, n int, context binary, anchor int, whole binary, shift int"
 
 
-def repeats(contexts: list[tuple[bytes, int, bytes, bool]], length: int) -> dict[str, list]:
-    """Runs of repeated windows in the contexts, and the hashes of the windows of split ones.
+def _parted(contexts: DataFrame, width: int, length: int) -> DataFrame:
+    """Contexts of longer keys: those of ``width`` distances from the anchor each, and a row for each that says where it is in which whole one."""
 
-    A context is (id, how often it occurs, bytes, whether its key is split).
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[bytes, list] = {}
+            where: list[tuple[bytes, bytes, int]] = []
+            for whole, n, context, anchor in zip(*(c.to_pylist() for c in batch.columns)):
+                first = 0
+                last = len(context) - length
+                while first <= last:
+                    # The window at ``first`` is ``anchor - first`` bytes before the anchor.
+                    low = (anchor - first) // width * width
+                    stop = min(last, anchor - low)
+                    # What all windows of these distances have in common.
+                    core = context[anchor - low : anchor - low - width + 1 + length]
+                    key = xxhash.xxh3_64_intdigest(core, low << 8 | width)
+                    part = context[first : stop + length]
+                    mark = xxhash.xxh3_128_digest(part, key & 0xFFFFFFFF)
+                    where.append((mark, whole, first))
+                    if mark in seen:
+                        seen[mark][1] += n
+                    else:
+                        seen[mark] = [key - (key >> 63 << 64), n, part, anchor - first]
+                    first = stop + 1
+            none, at = [None] * len(seen), [None] * len(where)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x[0] for x in seen.values()] + at, pa.int64()),
+                    pa.array([*seen, *(w[0] for w in where)], pa.binary()),
+                    pa.array([x[1] for x in seen.values()] + at, pa.int32()),
+                    pa.array([x[2] for x in seen.values()] + at, pa.binary()),
+                    pa.array([x[3] for x in seen.values()] + at, pa.int32()),
+                    pa.array([*none, *(w[1] for w in where)], pa.binary()),
+                    pa.array([*none, *(w[2] for w in where)], pa.int32()),
+                ],
+                names=["key", "context_id", "n", "context", "anchor", "whole", "shift"],
+            )
+
+    return contexts.select("context_id", "n", "context", "anchor").mapInArrow(made, _PARTS)
+
+
+def repeats(groups: list[list[tuple[bytes, int, bytes]]], length: int) -> dict[str, list]:
+    """Runs of repeated windows in groups of contexts.
+
+    A context is (id, how often it occurs, bytes); only contexts of one group
+    are compared.
     """
+    contexts = [c for g in groups for c in g]
     buffer, ends = _joined([c[2] for c in contexts])
     begins = np.concatenate([[0], ends[:-1]])
     sizes = ends - begins - length + 1
     owner = np.repeat(np.arange(len(contexts)), sizes)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     places = begins[owner] + offset
-    order, group = deep_shallow(buffer, places, length)
+    ends_of = np.cumsum([len(g) for g in groups])
+    order, group = deep_shallow(buffer, places, length, np.add.reduceat(sizes, np.concatenate([[0], ends_of[:-1]])))
     count = np.bincount(group, minlength=len(order))[group]
     twice = np.zeros(len(places), bool)
     twice[order] = count > 1
     twice |= np.array([c[1] > 1 for c in contexts])[owner]
-    out: dict[str, list] = {"context_id": [], "a": [], "b": [], "h": [], "i": []}
     flat = np.concatenate([[False], twice, [False]])
     # Runs of repeated windows, cut where a context ends.
     edge = np.zeros(len(places) + 1, bool)
     edge[np.cumsum(sizes) - sizes] = True
     opens = np.flatnonzero(twice & (~flat[:-2] | edge[:-1]))
     closes = np.flatnonzero(twice & (~flat[2:] | np.append(edge[1:-1], True)))
-    out["context_id"] += [contexts[k][0] for k in owner[opens]]
-    out["a"] += offset[opens].tolist()
-    out["b"] += (offset[closes] + 1).tolist()
-    out["h"] += [None] * len(opens)
-    out["i"] += [None] * len(opens)
-    split = np.array([c[3] for c in contexts])[owner]
-    if split.any():
-        # One row for each class: those held once say whose they are.
-        first = np.flatnonzero(group == np.arange(len(order)))
-        at = order[first]
-        at = at[split[at]]
-        one, two = _window_hashes(big_endian_words(buffer), places[at], length)
-        out["context_id"] += [None if t else contexts[k][0] for t, k in zip(twice[at], owner[at])]
-        out["a"] += offset[at].tolist()
-        out["b"] += (offset[at] + 1).tolist()
-        out["h"] += one.tolist()
-        out["i"] += two.tolist()
-    return out
+    return {"context_id": [contexts[k][0] for k in owner[opens]], "a": offset[opens].tolist(), "b": (offset[closes] + 1).tolist()}
 
 
-_REPEATS = "context_id binary, a int, b int, h long, i long"
+_REPEATS = "context_id binary, a int, b int"
 
 
 def _sorted(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in the order of ``key`` and ``block``; whole groups are sorted together."""
-        waiting: list[tuple[bytes, int, bytes, bool]] = []
+        """Rows come in the order of ``key``; the contexts of a key are sorted together."""
+        waiting: list[list[tuple[bytes, int, bytes]]] = []
         group: dict[bytes, list] = {}
         at, windows = None, 0
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
             found = repeats(waiting, length)
-            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(found[k], t) for k, t in zip(("context_id", "a", "b", "h", "i"), kinds)], names=["context_id", "a", "b", "h", "i"])
+            return pa.RecordBatch.from_arrays([pa.array(found[k], t) for k, t in (("context_id", pa.binary()), ("a", pa.int32()), ("b", pa.int32()))], names=["context_id", "a", "b"])
 
         def close() -> int:
             """Moves the group over, unless it is one context that occurs once."""
-            own = [(k, n, c, s) for k, (n, c, s) in group.items()]
+            own = [(k, n, c) for k, (n, c) in group.items()]
             group.clear()
-            if len(own) > 1 or own and (own[0][1] > 1 or own[0][3]):
-                waiting.extend(own)
+            if len(own) > 1 or own and own[0][1] > 1:
+                waiting.append(own)
                 return sum(len(c[2]) - length + 1 for c in own)
             return 0
 
         for batch in batches:
-            for key, block, split, context_id, n, context in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key, block) != at:
+            for key, context_id, n, context in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != at:
                     windows += close()
-                    at = key, block
+                    at = key
                     if windows >= SORTED:
-                        yield from done()
+                        yield done()
                         waiting, windows = [], 0
                 if context_id in group:
                     group[context_id][0] += n
                 else:
-                    group[context_id] = [n, context, split]
+                    group[context_id] = [n, context]
         close()
         if waiting:
-            yield from done()
+            yield done()
 
     return run
 
 
+def _sizes(contexts: DataFrame) -> tuple[DataFrame, bool, bool]:
+    """Keys of over ``BLOCK`` contexts, whether there are any, and whether they may be broadcast."""
+    large = written(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK).select("key"), "large")
+    n = large.count()
+    return large, n > 0, n <= MOST_SPLIT
+
+
 def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """``node`` and ``spans``, byte ranges that repeated windows cover, unordered and overlapping, of rows of ``node`` and ``text``.
 
@@ -299,20 +332,33 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must be a multiple of 8, of {2 * GRAM} or more")
     twice = _keys(texts, length).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
     made = written(_contexts(texts, length, fixed_filter.made(twice.select("key"), FILTER_BITS)), "contexts")
-    contexts, places = made.filter("context IS NOT NULL"), made.filter("node IS NOT NULL")
-    split = written(contexts.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > BLOCK), "split")
-    few = split.count() <= MOST_SPLIT
-    dealt = contexts.select("key", "context_id", "n", "context").join(F.broadcast(split) if few else split, "key", "left")
-    block = F.pmod(F.xxhash64("context_id"), F.coalesce(F.ceil(F.col("m") / (BLOCK // 2)), F.lit(1))).cast("int")
-    dealt = dealt.select("key", block.alias("block"), F.col("m").isNotNull().alias("split"), "context_id", "n", "context")
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "block").sortWithinPartitions("key", "block")
-    found = written(dealt.mapInArrow(_sorted(length), _REPEATS), "repeats")
-    # Windows that blocks of a split key hold once each.
-    across = found.filter("h IS NOT NULL")
-    met = across.groupBy("h", "i").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h", "i")
-    also = across.filter("context_id IS NOT NULL").join(met, ["h", "i"]).select("context_id", "a", "b")
-    hits = found.filter("h IS NULL").select("context_id", "a", "b").unionByName(also)
-    cover = places.select("context_id", "node", "start").join(hits, "context_id").select("node", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (length - 1)).alias("b")).alias("span"))
+    places = made.filter("node IS NOT NULL").select("context_id", "node", "start")
+    contexts = made.filter("context IS NOT NULL").select("key", "context_id", "n", "context", "anchor")
+    dealt, wholes = [], []
+    often = F.least(F.sum("n"), F.lit(2)).cast("int").alias("n")  # more than once is all that counts
+    for width in WIDTHS:
+        large, any_, few = _sizes(contexts)
+        if not any_:
+            break
+        large = F.broadcast(large) if few else large
+        dealt.append(contexts.join(large, "key", "left_anti"))
+        # Equal contexts of all texts become one before they are parted.
+        merged = contexts.join(large, "key", "left_semi").groupBy("context_id").agg(often, F.first("context").alias("context"), F.first("anchor").alias("anchor"))
+        parted = written(_parted(merged, width, length), "parted")
+        wholes.append(parted.filter("whole IS NOT NULL").select("context_id", "whole", "shift"))
+        contexts = parted.filter("context IS NOT NULL").select("key", "context_id", "n", "context", "anchor")
+        contexts = contexts.groupBy("context_id").agg(F.first("key").alias("key"), often, F.first("context").alias("context"), F.first("anchor").alias("anchor"))
+        contexts = written(contexts.select("key", "context_id", "n", "context", "anchor"), "merged")
+    dealt.append(contexts)
+    rows = dealt[0].select("key", "context_id", "n", "context")
+    for more in dealt[1:]:
+        rows = rows.unionByName(more.select("key", "context_id", "n", "context"))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    hits = written(rows.mapInArrow(_sorted(length), _REPEATS), "repeats")
+    for whole in reversed(wholes):
+        back = hits.join(whole, "context_id").select(F.col("whole").alias("context_id"), (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"))
+        hits = hits.unionByName(back)
+    cover = places.join(hits, "context_id").select("node", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + (length - 1)).alias("b")).alias("span"))
     return cover.groupBy("node").agg(F.collect_list("span").alias("spans"))
 
 

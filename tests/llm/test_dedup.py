@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from crawlgate.llm import near_dedup, substring_dedup
-from crawlgate.llm.suffix_sort import deep_shallow
+from crawlgate.llm.suffix_sort import BlindTries, big_endian_words, deep_shallow
 from tests.llm.conftest import write_tables
 from tests.llm.plain import cut, groups, shingles
 
@@ -58,16 +58,31 @@ def test_deep_shallow(parts, length):
     if len(body) < length:
         return
     places = np.arange(len(body) - length + 1)
-    order, group = deep_shallow(np.frombuffer(body, np.uint8), places, length)
-    strings = [body[p : p + length] for p in places[order]]
-    assert strings == sorted(strings)
-    assert sorted(order) == list(places)
-    first = [strings.index(s) for s in strings]
-    assert first == group.tolist()
-
-
-@pytest.mark.parametrize("block", [4096, 2])
+    for sizes in ([len(places)], [len(places) // 2, len(places) - len(places) // 2]):
+        order, group = deep_shallow(np.frombuffer(body, np.uint8), places, length, np.array(sizes))
+        at = 0
+        for n in sizes:
+            strings = [body[p : p + length] for p in places[order[at : at + n]]]
+            assert strings == sorted(strings)
+            assert sorted(order[at : at + n]) == list(range(at, at + n))
+            assert [at + strings.index(s) for s in strings] == group[at : at + n].tolist()
+            at += n
+
+
+def test_blind_tries_keep_where_suffixes_part():
+    body = b"".join(b"same" * 2 + x + b"\0" * 8 for x in (b"abcd", b"abzz", b"abca", b"abzz", b"a___", b"abza"))
+    buffer, places = np.frombuffer(body, np.uint8), np.arange(6) * 20
+    tries = BlindTries(buffer, big_endian_words(buffer), places, np.array([6]), 8, 16)
+    assert tries.parent.tolist() == [0, 0, 0, 1, 0, 1]
+    assert tries.depth.tolist() == [16, 10, 11, 16, 9, 11]
+    assert tries.side.tolist() == [0, 1, -1, 0, -1, -1]
+    place, first = tries.ordered()
+    assert place.tolist() == [2, 4, 1, 5, 0, 3] and first.tolist() == [0, 1, 2, 1, 4, 5]
+
+
+@pytest.mark.parametrize("block", [4096, 2, 0])
 def test_substring_dedup(spark, tmp_path, monkeypatch, block):
+    """Also with keys of over two contexts, or all, dealt out further."""
     monkeypatch.setattr(substring_dedup, "BLOCK", block)
     r = random.Random(block)
     noise = lambda n: "".join(r.choice("abcdé fgh\n") for _ in range(n))
