@@ -6,8 +6,6 @@ from an Arrow buffer, or from a mapped file (``mmap``), without a copy.
 
 from __future__ import annotations
 
-from functools import cached_property
-
 import numpy as np
 
 _ONE = np.uint64(1)
@@ -27,36 +25,58 @@ def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+#: Words of the bit vector that one entry of the directory is for.
+_STEP = 8
+#: Elements looked up together, so that the arrays stay small whatever the sequence's length is.
+_LOOKUP = 1 << 16
+_BYTE_ONES = np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.uint8)
+#: Place of the k-th one in each byte.
+_IN_BYTE = np.array([[next((i for i in range(8) if b >> i & 1 and bin(b & (1 << i) - 1).count("1") == k), 8) for k in range(8)] for b in range(256)], np.uint8)
+
+
+def _in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th one in each word."""
+    parts = words[:, None].view(np.uint8) if words.flags.c_contiguous else np.ascontiguousarray(words)[:, None].view(np.uint8)
+    sums = np.cumsum(_BYTE_ONES[parts], axis=1, dtype=np.uint8)
+    at = (sums <= k[:, None]).sum(1)
+    row = np.arange(len(words))
+    before = np.where(at > 0, sums[row, at - 1], 0)
+    return 8 * at + _IN_BYTE[parts[row, at], k - before]
+
+
 class EliasFano:
-    """A non-decreasing sequence: low bits side by side, high bits as a unary bit vector."""
+    """A non-decreasing sequence: low bits side by side, high bits as a unary bit vector with a directory.
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.bits, self.low = n, np.uint64(bits), low
-        ones = np.unpackbits(high.view(np.uint8), bitorder="little")
-        # Index of the first element whose high part is that number or more.
-        zeros = np.flatnonzero(ones == 0)
-        self.first = np.concatenate([[0], zeros - np.arange(len(zeros))])
-        self.first = np.minimum(self.first, n)
+    Elements are found by select on the bit vector as it is; nothing of the
+    sequence is unpacked, so opening one takes no memory.
+    """
+
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
+        self.n, self.bits, self.low, self.high, self.ones = n, np.uint64(bits), low, high, ones
 
     @staticmethod
     def encode(values: np.ndarray) -> list[np.ndarray]:
-        """The parts of the buffer: three numbers, low words, high words."""
+        """The parts of the buffer: four numbers, low words, high words, and the ones before each ``_STEP`` of these."""
         values = values.astype(np.uint64)
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         bits = max(0, (top // max(n, 1)).bit_length() - 1)
         high = (values >> np.uint64(bits)).astype(np.int64) if bits < 64 else np.zeros(n, np.int64)
-        vector = np.zeros(-(-(n + (int(high[-1]) if n else 0) + 2) // 64) * 64, np.uint8)
+        vector = np.zeros(-(-(n + (int(high[-1]) if n else 0) + 2) // (64 * _STEP)) * 64 * _STEP, np.uint8)
         vector[high + np.arange(n)] = 1
         vector = np.packbits(vector, bitorder="little").view(np.uint64)
+        ones = np.bitwise_count(vector).reshape(-1, _STEP).sum(1, dtype=np.uint64)
+        ones = (np.cumsum(ones) - ones).astype(np.uint64)
         low = _pack(values & np.uint64((1 << bits) - 1), bits)
-        return [np.array([n, bits, len(low), len(vector)], np.uint64), low, vector]
+        return [np.array([n, bits, len(low), len(vector)], np.uint64), low, vector, ones]
 
     @staticmethod
     def read(words: np.ndarray, at: int) -> tuple["EliasFano", int]:
+        """The sequence that begins at a word of a buffer, as views of it, and where it ends."""
         n, bits, a, b = (int(x) for x in words[at : at + 4])
         at += 4
-        return EliasFano(n, bits, words[at : at + a], words[at + a : at + a + b]), at + a + b
+        c = b // _STEP
+        return EliasFano(n, bits, words[at : at + a], words[at + a : at + a + b], words[at + a + b : at + a + b + c]), at + a + b + c
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -68,22 +88,46 @@ class EliasFano:
         value[over] |= self.low[word[over] + 1] << (np.uint64(64) - shift[over])
         return value & ((_ONE << self.bits) - _ONE)
 
-    def all(self) -> np.ndarray:
-        """Every element."""
-        i = np.arange(self.n)
-        high = np.searchsorted(self.first, i, "right") - 1
-        return (high.astype(np.uint64) << self.bits) | self._lows(i)
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """Place of the k-th one, or zero, of the bit vector; there must be so many."""
+        out = np.empty(len(k), np.int64)
+        before = self.ones if one else np.arange(len(self.ones), dtype=np.uint64) * np.uint64(64 * _STEP) - self.ones
+        for begin in range(0, len(k), _LOOKUP):
+            asked = k[begin : begin + _LOOKUP].astype(np.uint64)
+            block = np.searchsorted(before, asked, "right") - 1
+            rest = (asked - before[block]).astype(np.int64)
+            words = self.high[block[:, None] * _STEP + np.arange(_STEP)]
+            if not one:
+                words = ~words
+            sums = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+            at = (sums <= rest[:, None]).sum(1)
+            row = np.arange(len(block))
+            rest -= np.where(at > 0, sums[row, at - 1], 0)
+            out[begin : begin + _LOOKUP] = (block * _STEP + at) * 64 + _in_word(words[row, at], rest)
+        return out
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """Elements by their places."""
+        i = np.asarray(i, np.int64)
+        return ((self._select(i, True) - i).astype(np.uint64) << self.bits) | self._lows(i)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first element of ``x`` or more, and whether it is ``x``."""
-        x = x.astype(np.uint64)
-        high = np.minimum(x >> self.bits, np.uint64(len(self.first) - 1)).astype(np.int64)
-        beyond = (x >> self.bits) > np.uint64(len(self.first) - 1)
-        at = np.where(beyond, self.n, self.first[high])
-        end = np.where(beyond, self.n, self.first[np.minimum(high + 1, len(self.first) - 1)])
+        x = np.asarray(x, np.uint64)
+        high = x >> self.bits
+        # Elements of a high part stand between the zeros before and after it; there are fewer zeros than the last one's.
+        zeros = 64 * len(self.high) - self.n
+        inside = high < np.uint64(max(0, zeros - 1))
+        part = np.where(inside, high, np.uint64(0)).astype(np.int64)
+        stop = np.where(inside, np.minimum(self._select(part, False) - part, self.n), self.n)
+        after = part > 0
+        at = np.full(len(x), self.n, np.int64)
+        at[inside & ~after] = 0
+        both = inside & after
+        at[both] = np.minimum(self._select(part[both] - 1, False) - part[both] + 1, self.n)
+        end = stop.copy()
         low = x & ((_ONE << self.bits) - _ONE)
         # Halving inside the elements of one high part; most have one or two.
-        stop = end.copy()
         left = np.flatnonzero(at < end)
         while len(left):
             middle = (at[left] + end[left]) >> 1
@@ -102,7 +146,12 @@ LEAST = -12.0
 
 
 class Trie:
-    """Contexts, pointers to their successors, successors by context-relative number, quantised probabilities."""
+    """Contexts, pointers to their successors, successors by context-relative number, quantised probabilities.
+
+    ``buffer`` is read in place: bytes, an Arrow buffer, or a mapped file.
+    Stored are Witten-Bell's discounted probabilities c(v, w) / (c(v) + t(v));
+    what they leave of each context's probability is t(v) / (c(v) + t(v)).
+    """
 
     def __init__(self, buffer):
         words = np.frombuffer(buffer, np.uint64)
@@ -123,25 +172,22 @@ class Trie:
         ``count[i]`` times.
         """
         totals = np.bincount(owner, weights=count, minlength=len(contexts)).astype(np.int64)
-        pointers = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(contexts)))])
-        code = np.round(np.log10(count / totals[owner]) / LEAST * LEVELS).astype(np.uint16) if len(owner) else np.zeros(0, np.uint16)
+        kinds = np.bincount(owner, minlength=len(contexts))
+        code = np.round(np.log10(count / (totals + kinds)[owner]) / LEAST * LEVELS).astype(np.uint16) if len(owner) else np.zeros(0, np.uint16)
         code = np.concatenate([code, np.zeros(-len(code) % 4, np.uint16)])
         # A word's number among the words, raised by its context's place: one monotone sequence.
         relative = owner.astype(np.uint64) * np.uint64(max(1, len(words))) + word.astype(np.uint64)
-        parts = [*EliasFano.encode(contexts), *EliasFano.encode(words), *EliasFano.encode(pointers), *EliasFano.encode(relative), *EliasFano.encode(np.cumsum(totals)), code.view(np.uint64)]
+        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (kinds, totals)]
+        parts = [*EliasFano.encode(contexts), *EliasFano.encode(words), *EliasFano.encode(sums[0]), *EliasFano.encode(relative), *EliasFano.encode(sums[1]), code.view(np.uint64)]
         return b"".join(p.tobytes() for p in parts)
 
-    @cached_property
-    def _bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.pointers.all().astype(np.int64), np.concatenate([[0], self.counts.all().astype(np.int64)])
-
     def context(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of each context (-1: unknown), how often it was seen, and its distinct successors."""
         at, hit = self.contexts.successor(numbers)
-        pointers, sums = self._bounds
-        safe = np.where(hit, at, 0)
-        known = lambda x: np.where(hit, x[safe + 1] - x[safe], 0) if self.contexts.n else np.zeros(len(at), np.int64)
-        return np.where(hit, at, -1), known(sums), known(pointers)
+        seen, kinds = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for out, sums in ((seen, self.counts), (kinds, self.pointers)):
+            out[hit] = (sums.get(at[hit] + 1) - sums.get(at[hit])).astype(np.int64)
+        return np.where(hit, at, -1), seen, kinds
 
     def number(self, words: np.ndarray) -> np.ndarray:
         """The number of each word, -1 for one that no context has."""

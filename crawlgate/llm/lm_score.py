@@ -6,7 +6,9 @@ the base score:
   p(w | v) = (c(v, w) + t(v) p1(w)) / (c(v) + t(v))
 
 with t(v) the distinct successors of v, and the text's begin and end as a
-context and as a token.  All counts are of all training texts.
+context and as a token.  All counts are of all training texts.  The tries hold
+the first part, c(v, w) / (c(v) + t(v)), quantised; the second is what it
+leaves, times the unigram.
 
 1. Blocks of texts are tokenized once: each holds its words as 64-bit hashes
    and its texts as numbers into them.
@@ -19,11 +21,17 @@ context and as a token.  All counts are of all training texts.
 4. A block scores its texts with the answers.
 
 What moves is in proportion to the input; no model has to fit on one machine.
+There is a shard for each ``SHARD_TOKENS`` tokens of the input, and shards and
+blocks are dealt to as many partitions, so a task does not grow with the input.
+Each block sends each shard one message: their number grows with the square of
+the input, and where they would hold a few pairs each, blocks and shards are to
+be made larger.
 
 Defined results: a null or empty text is its end alone.  Without training
 texts every word is unknown and N is 0; base and score are then those of a
 uniform choice of one (0).  Rows are told apart by their place in the block,
-so null and repeated ids are scored as they come.
+so null and repeated ids, of any type that text can hold, are scored as they
+come.
 """
 
 from __future__ import annotations
@@ -48,6 +56,7 @@ ALPHA = 0.1
 HOT = 0.001
 PARTS = 64
 BLOCK_TOKENS = 2_500_000
+SHARD_TOKENS = 1_500_000
 #: Texts hashed together.
 ROWS = 500
 
@@ -107,13 +116,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part << 32 | seq], pa.int64()),
-                    pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([ids], pa.list_(pa.string())),
                     pa.array([_packed(lengths, learn, codes, words, counts)], pa.binary()),
                     pa.array([words[frequent].view(np.int64)], pa.list_(pa.int64())),
                     pa.array([counts[frequent]], pa.list_(pa.int64())),
                     pa.array([n], pa.int64()),
+                    pa.array([len(codes)], pa.int64()),
                 ],
-                names=["block", "ids", "body", "frequent", "seen", "n"],
+                names=["block", "ids", "body", "frequent", "seen", "n", "tokens"],
             )
 
         for batch in batches:
@@ -132,7 +142,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if ids:
             yield done()
 
-    return docs.mapInArrow(made, "block long, ids array<long>, body binary, frequent array<long>, seen array<long>, n long")
+    return docs.mapInArrow(made, "block long, ids array<string>, body binary, frequent array<long>, seen array<long>, n long, tokens long")
 
 
 def _pairs(lengths: np.ndarray, codes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +261,7 @@ def _scored(hot: np.ndarray, shards: int):
         home = (_mixed(words) % np.uint64(shards)).astype(np.int64)
         by_home = np.argsort(home, kind="stable")
         homes = np.searchsorted(home[by_home], np.arange(shards + 1))
-        total, ratio, c_part = np.zeros(len(words), np.int64), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        total, ratio, part = np.zeros(len(words), np.int64), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
         c_of, t_of = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
         c_hot, t_hot, sums = np.zeros(len(hot), np.int64), np.zeros(len(hot), np.int64), np.zeros(2, np.int64)
         for s, data in zip(answers["shard"], answers["answer"]):
@@ -260,7 +270,7 @@ def _scored(hot: np.ndarray, shards: int):
             i, j = bounds[s], bounds[s + 1]
             change = _changes(owner[i:j])
             cs, c = owner[i:j][change], np.cumsum(change) - 1
-            ratio[i:j], c_part[i:j] = probability(code), c_all[c]
+            ratio[i:j], part[i:j] = probability(code), (c_all + t_all)[c]
             c_of[cs], t_of[cs] = c_all, t_all
             c_hot, t_hot, sums = c_hot + c_more, t_hot + t_more, sums + more
         at_hot = np.searchsorted(hot, contexts)
@@ -271,7 +281,7 @@ def _scored(hot: np.ndarray, shards: int):
         # A distinct pair has one probability, wherever it stands.
         weight, rest = c_of[owner] + t_of[owner], t_of[owner] * unigram[word]
         log_p = np.empty(len(keys))
-        log_p[order] = np.log10(np.where(weight > 0, (ratio * c_part + rest) / np.maximum(weight, 1), unigram[word]))
+        log_p[order] = np.log10(np.where(weight > 0, (ratio * part + rest) / np.maximum(weight, 1), unigram[word]))
         begin = np.cumsum(lengths) - lengths
         return pd.DataFrame(
             {
@@ -297,18 +307,20 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores of every row by a model of the rows where ``train`` holds."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), train.alias("train"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("doc_id"), F.col(f"`{text}`").alias("text"), train.alias("train"))
     blocks = written(_blocks(rows), "blocks")
     # Words over HOT of all tokens: fewer than 1 / HOT of them.
-    n = blocks.agg(F.sum("n")).first()[0] or 0
+    n, tokens, n_blocks = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0)), F.count(F.lit(1))).first()
+    shards, n_blocks = max(1, -(-tokens // SHARD_TOKENS)), max(1, n_blocks)
     often = blocks.select(F.explode(F.arrays_zip("frequent", "seen")).alias("x")).groupBy("x.frequent").agg(F.sum("x.seen").alias("n")).filter(F.col("n") > HOT * n)
     hot = np.sort(np.array([r["frequent"] for r in often.collect()], np.int64).view(np.uint64))
     hot = np.union1d(hot, np.array([BEGIN])).astype(np.uint64)
     sent = blocks.select("block", "body").mapInArrow(_sent(hot, shards), "shard int, block long, data binary")
-    answers = sent.groupBy("shard").applyInPandas(_answered(hot), "block long, shard int, answer binary")
-    out = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.select("block", "ids", "body").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(hot, shards), out)
+    answers = sent.repartition(shards, "shard").groupBy("shard").applyInPandas(_answered(hot), "block long, shard int, answer binary").repartition(n_blocks, "block")
+    out = "doc_id string, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = blocks.select("block", "ids", "body").repartition(n_blocks, "block").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(hot, shards), out)
+    # Ids go along as text, which holds every number whole, null or not.
+    return scored.withColumn("doc_id", F.col("doc_id").cast(docs.select(F.col(f"`{doc_id}`")).dtypes[0][1]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
