@@ -104,27 +104,32 @@ def comparer():
 #: Ranges for each shuffle partition, so that hashing ranges to partitions stays even.
 RANGES = 4
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_SUB = 4096
 
 
 def _ranged(rows: DataFrame, n: int) -> DataFrame:
     """``rows`` of ``doc_id``, ``h``, ``text`` with ``range``, which rises with (doc_id, h).
 
     About ``n`` ranges hold as many rows each; an id that would fill several is
-    split by ``h``.
+    split by ``h`` into as many, and so are null ids into ``n``: there are
+    ``2 * n`` ranges at most.
     """
     found = rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n).alias("q")).first()["q"] or []
-    splits, often = sorted(set(found)), sorted({x for x in found if found.count(x) > 1})
-    sent = rows.sparkSession.sparkContext.broadcast(np.array(splits, np.int64))  # n - 1 numbers at most
+    splits, often = np.unique(np.array(found, np.int64), return_counts=True)
+    parts = np.concatenate([[1], often])
+    sent = rows.sparkSession.sparkContext.broadcast((splits, parts, np.cumsum(parts) - parts))  # n - 1 numbers at most
 
     @F.pandas_udf("long")
-    def number(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(sent.value, ids.to_numpy(np.int64), "right"), index=ids.index)
+    def number(ids: pd.Series, null: pd.Series, h: pd.Series) -> pd.Series:
+        splits, parts, first = sent.value
+        i, share = ids.to_numpy(np.int64), (h.to_numpy(np.int64).astype(float) + 2.0**63) / 2.0**64
+        k = np.searchsorted(splits, i, "right")
+        # Ids above the one that a range begins with come in its last part.
+        begins = (k > 0) & (splits[np.maximum(k - 1, 0)] == i) if len(splits) else np.zeros(len(i), bool)
+        part = np.where(begins, np.minimum(share * parts[k], parts[k] - 1), parts[k] - 1).astype(np.int64)
+        none = np.minimum((share * n).astype(np.int64), n - 1) - n
+        return pd.Series(np.where(null.to_numpy(bool), none, first[k] + part), index=ids.index)
 
-    share = F.floor((F.col("h").cast("double") + 2.0**63) / 2.0**64 * (_SUB - 1))
-    part = F.when(F.col("doc_id").isNull() | F.col("doc_id").isin(often), share).otherwise(_SUB - 1)
-    first = F.when(F.col("doc_id").isNull(), -1).otherwise(number(F.coalesce("doc_id", F.lit(0))))
-    return rows.withColumn("range", (first * _SUB + part).cast("long"))
+    return rows.withColumn("range", number(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("h")))
 
 
 def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +164,12 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.select(F.col(f"`{doc_id}`")).dtypes[0][1]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids are whole numbers, in whose order documents follow each other, and not {kind}")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = _ranged(rows.withColumn("h", F.xxhash64("text")), RANGES * n)
-    # One row for each range, so their number is bounded by the partitions.
+    # One row for each range, so twice RANGES for each partition at most.
     firsts = rows.groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("x")).select("range", "x.*").collect()
     firsts = sorted(map(tuple, firsts), key=lambda r: r[0])
     if not firsts:
