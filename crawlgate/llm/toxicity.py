@@ -4,16 +4,18 @@ The kernel of two strings sums, over all subsequences of ``ORDER`` characters
 that both have, ``DECAY`` to the power of the stretches they span, so a letter
 put in, or a gap between letters, weakens a match and does not end it.  It is
 approximated from landmarks (Nyström): a string's features are its kernels with
-them, whitened by the landmarks' own.  A linear machine is trained on sentences
-labelled by their documents: a toxic document is a bag of which the strongest
-piece counts, and pieces of clean documents are all negative.  A piece is a
-word, letters written one by one joined into one, or windows of a long word.
-
-Some words are no proof alone: clean documents have them too, but far less
-often.  A second machine over the same features tells the pieces that toxic
+them, whitened by the landmarks' own.  A sentence's kernel with a landmark is the
+largest of its pieces': words, letters written one by one joined into one, or
+windows of a long word.  A linear machine is trained on sentences labelled by
+their documents: a toxic document is a bag of which the strongest sentence
+counts, and sentences of clean documents are all negative.  Two words of a
+sentence that are no insult alone can be one together.
+
+Some words are no proof in one sentence: clean documents have them too, but far
+less often.  A second machine over the same features tells the pieces that toxic
 documents favour by rate, and the number of different ones in a document is
 weighed against its length as a ratio of two Poisson likelihoods.  A document's
-score is the larger of two calibrated ones: the margin of its strongest piece,
+score is the larger of two calibrated ones: the margin of its strongest sentence,
 and that ratio.
 
 What is bounded: ``TOXIC`` and ``CLEAN`` labelled documents, first by a hash of
@@ -21,8 +23,9 @@ their id, are learnt from.  Texts to score are read whole.
 
 Defined results: a text without pieces (null, empty, blanks) has the margin of
 the empty string.  Labels that are null, and labels of ids that are not there,
-are not learnt from; repeated labels of an id count once each.  Without labels
-of both kinds nothing is learnt and every score is 0.
+are not learnt from; an id is learnt from once, with its first text by hash,
+however often it and its label are repeated.  Without labels of both kinds
+nothing is learnt and every score is 0.
 """
 
 from __future__ import annotations
@@ -52,11 +55,13 @@ STEMS = (4, 5, 6, 8)
 WINDOW = 24
 #: Put before each piece for the kernel: how a word begins tells more than what it has inside.
 START = "\x02"
-#: Scores of pieces kept by a Python process.
-MOST_PIECES = 1_000_000
+#: Pieces whose kernels a Python process keeps, and words handled together.
+MOST_PIECES = 500_000
+WORDS = 100_000
 
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
-_SENTENCE = regex.compile(r"[.!?\n]+")
+#: A word that ends a sentence.
+_END = regex.compile(r"[.!?]\p{P}*$")
 
 
 def piece(word: str) -> str:
@@ -143,8 +148,9 @@ class Model:
         self.y = _codes(marked, width)
         self.y[self.y == -1] = -2
         self.own = np.array([_self(x) for x in marked], np.float32)
-        self.known: dict[str, float] = {}
-        #: Those of the known pieces that the second machine takes.
+        #: Places of known pieces in ``kernels``, and those that the second machine takes.
+        self.known: dict[str, int] = {}
+        self.kernels = np.zeros((0, len(marked)), np.float32)
         self.hits: set[str] = set()
 
     def features(self, strings: list[str]) -> np.ndarray:
@@ -162,11 +168,11 @@ class Model:
                 out[part] = kernel(x, self.y) / np.maximum(norm, 1e-12)
         return out
 
-    def margins(self, found: list[str]) -> np.ndarray:
-        """The margin of each piece; of a long one, the largest of its windows."""
+    def kernels_of(self, found: list[str]) -> np.ndarray:
+        """A row for each piece: its kernels with the landmarks, of a long one the largest of its windows."""
         new = list(dict.fromkeys(p for p in found if p not in self.known))
         if len(self.known) + len(new) > MOST_PIECES:
-            self.known.clear()
+            self.known, self.kernels = {}, self.kernels[:0]
             self.hits.clear()
             new = list(dict.fromkeys(found))
         windows, owner = [], []
@@ -175,14 +181,24 @@ class Model:
             windows += [START + cut[0], *cut[1:]]
             owner += [i] * len(cut)
         if new:
-            features = self.features(windows)
-            values = features @ self.weights + self.bias
-            best = np.full(len(new), -np.inf)
-            np.maximum.at(best, np.array(owner), values)
+            raw = self.features(windows)
+            best = np.maximum.reduceat(raw, np.searchsorted(owner, np.arange(len(new))))
             if self.rate:
-                self.hits.update(new[owner[i]] for i in np.flatnonzero(features @ self.rate.weights + self.rate.bias > 0))
-            self.known.update(zip(new, best.tolist()))
-        return np.array([self.known[p] for p in found])
+                self.hits.update(new[owner[i]] for i in np.flatnonzero(raw @ self.rate.weights + self.rate.bias > 0))
+            self.known.update(zip(new, range(len(self.kernels), len(self.kernels) + len(new))))
+            self.kernels = np.vstack([self.kernels, best])
+        return self.kernels[[self.known[p] for p in found]]
+
+    def strongest(self, kernels: np.ndarray, codes: np.ndarray, last: np.ndarray) -> float | np.ndarray:
+        """Margins of sentences: words are rows of ``kernels`` by number, and ``last`` says where a sentence ends."""
+        number = np.cumsum(last) - last
+        out = np.zeros((int(number[-1]) + 1, len(self.landmarks)), np.float32)
+        for begin in range(0, len(codes), WORDS):
+            own = number[begin : begin + WORDS]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            at = own[first]
+            out[at] = np.maximum(out[at], np.maximum.reduceat(kernels[codes[begin : begin + WORDS]], first))
+        return out @ self.weights + self.bias
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Scores of whole texts, in 0 to 1."""
@@ -195,13 +211,18 @@ class Model:
         if lengths.sum():
             codes, kinds = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
             plain = [piece(w) for w in kinds]
-            single = np.array([len(p) == 1 for p in plain])
-            value = self.margins(plain)
             none = np.array([len(p) < 2 for p in plain])
-            value[none] = self.bias
+            single = np.array([len(p) == 1 for p in plain])
+            kernels = self.kernels_of(plain)
+            kernels[none] = 0
             begin = np.cumsum(lengths) - lengths
             full = lengths > 0
-            best[full] = np.maximum(best[full], np.maximum.reduceat(value[codes], begin[full]))
+            last = np.array([bool(_END.search(w)) for w in kinds])[codes]
+            last[(begin + lengths - 1)[full]] = True
+            margin = self.strongest(kernels, codes, last)
+            # The first sentence of each text that has any.
+            sentence = np.cumsum(last) - last
+            best[full] = np.maximum.reduceat(margin, sentence[begin[full]])
             # Texts with ORDER single letters in a row, also inside signs.
             alone = single[codes]
             run = alone.copy()
@@ -215,9 +236,13 @@ class Model:
             pairs = {(i, k) for i, k in zip(owner[hit >= 0].tolist(), hit[hit >= 0].tolist())}
             np.add.at(hits, [i for i, _ in pairs], 1)
             for i in np.unique(owner[run]):
-                found = pieces(lists[i])
-                best[i] = max(best[i], self.margins(found).max(initial=self.bias))
-                hits[i], words[i] = len(self.hits.intersection(found)), len(found)
+                found = _sentences(lists[i])
+                every = [p for x in found for p in x]
+                if every:
+                    ends = np.zeros(len(every), bool)
+                    ends[np.cumsum([len(x) for x in found]) - 1] = True
+                    best[i] = max(best[i], self.strongest(self.kernels_of(every), np.arange(len(every)), ends).max())
+                hits[i], words[i] = len(self.hits.intersection(every)), len(every)
         score = _logistic(self.slope * best + self.offset)
         if self.rate:
             score = np.maximum(score, _logistic(self.rate.slope * self.rate.ratio(hits, words) + self.rate.offset))
@@ -252,8 +277,14 @@ def _self(string: str) -> float:
     return float(_selves(_codes([string], len(string)))[0])
 
 
-def _sentences(text: str | None) -> list[list[str]]:
-    return [x for x in (pieces(s.split()) for s in _SENTENCE.split(text or "")) if x]
+def _sentences(words: list[str]) -> list[list[str]]:
+    """Sentences of a text's words, as their pieces; those without any are left out."""
+    out, begin = [], 0
+    for i, w in enumerate(words):
+        if i + 1 == len(words) or _END.search(w):
+            out.append(pieces(words[begin : i + 1]))
+            begin = i + 1
+    return [x for x in out if x]
 
 
 def _distinct(docs: list[list[list[str]]]) -> list[list[list[str]]]:
@@ -332,74 +363,81 @@ def _garbled(p: str) -> list[str]:
     return [p[:k] + sign + p[k:] for k in range(1, len(p)) for sign in "-.*_"] + [s.join(p) for s in "-.* "]
 
 
+def _bags(kernels: np.ndarray, at: dict[str, int], docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Kernels of all sentences of documents, and the document of each."""
+    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    flat = [s for d in docs for s in d]
+    codes = np.array([at[p] for s in flat for p in s], np.int64)
+    lengths = np.array([len(s) for s in flat], np.int64)
+    return np.maximum.reduceat(kernels[codes], np.cumsum(lengths) - lengths), owner
+
+
+def _first_machine(marks: list[str], found: list[str], white: np.ndarray, kernels: np.ndarray, garbled: np.ndarray, at: dict[str, int], bags: list, rest: list) -> Model:
+    """The machine over sentences, calibrated on whole documents."""
+    toxic, of = _bags(kernels, at, bags)
+    clean, of_clean = _bags(kernels, at, rest)
+    # At first the sentences nearest to a landmark found, then what the machine holds to be positive; one of each document at least.
+    strength, weights, bias = toxic[:, : len(found)].max(1), np.zeros(len(marks)), -1.0
+    hardest = clean[:, : len(found)].max(1)
+    for turn in range(3):
+        top = np.full(len(bags), -np.inf)
+        np.maximum.at(top, of, strength)
+        best = strength >= top[of]
+        witness = toxic[best & (strength > -1) | (strength > 0) if turn else best]
+        hard = clean[np.argsort(-hardest, kind="stable")[:3000]]
+        # The empty sentence is clean, for certain.
+        negative = np.vstack([np.zeros((1, len(marks)), np.float32), hard, clean[np.random.default_rng(0).permutation(len(clean))[:1500]]])
+        x = np.vstack([witness, garbled, negative]) @ white
+        y = np.concatenate([np.ones(len(witness) + len(garbled)), -np.ones(len(negative))])
+        cost = np.where(y > 0, 1.0, 5.0 * max(1.0, (y > 0).sum() / len(negative)))
+        cost[len(y) - len(negative)] = 1000.0
+        w = _machine(x, y, cost)
+        weights, bias = white @ w[:-1], float(w[-1])
+        strength, hardest = toxic @ weights + bias, clean @ weights + bias
+    model = Model(marks, weights, bias)
+    margin = np.full(len(bags) + len(rest), -np.inf)
+    np.maximum.at(margin, of, strength)
+    np.maximum.at(margin, len(bags) + of_clean, hardest)
+    model.slope, model.offset = _calibrated(margin, np.arange(len(margin)) < len(bags))
+    return model
+
+
 def learn(toxic: list[str], clean: list[str]) -> Model:
     """A model of labelled texts."""
-    bags, rest = _distinct([_sentences(t) for t in toxic]), _distinct([_sentences(t) for t in clean])
+    bags, rest = ([d for d in _distinct([_sentences(t.split()) for t in texts]) if d] for texts in (toxic, clean))
     found, ordinary = _landmarks(bags, rest)
     marks = found + ordinary
-    if not found:
+    if not found or not rest:
         return Model([], np.zeros(0), 0.0)
     bare = Model(marks, np.zeros(len(marks)), 0.0)
     gram = bare.features([START + p for p in marks]).astype(float)
     # features: landmark x landmark kernels; whitening is their inverse root.
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     white = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    flat = lambda docs: [sorted({p for s in d for p in s}) for d in docs]
-    words = np.array([sum(map(len, d)) for d in (*bags, *rest) if any(d)])
-    bags, rest = [b for b in flat(bags) if b], [r for r in flat(rest) if r]
-    every = sorted({p for d in (*bags, *rest) for p in d})
+    words = np.array([sum(map(len, d)) for d in (*bags, *rest)])
+    every = sorted({p for d in (*bags, *rest) for s in d for p in s})
     at = {p: i for i, p in enumerate(every)}
-    cut = [START + p[:WINDOW] for p in every]
-    raw = bare.features(cut)
-    mapped = raw @ white
-    clean_at = np.array(sorted({at[p] for r in rest for p in r}))
-    never = np.ones(len(every), bool)
-    never[clean_at] = False
-    # At first the pieces that begin like a landmark found, then what the machine holds to be positive.
-    begins = tuple(found)
-    held = np.array([p.startswith(begins) for p in every]) & never
-    weights = bias = None
-    if not len(clean_at):
-        return Model([], np.zeros(0), 0.0)
-    for _ in range(3):
-        witness = np.array(sorted({at[p] for d in bags for p in d if held[at[p]]}))
-        if not len(witness):
-            break
-        nearest = raw[:, : len(found)].max(1) if weights is None else raw @ weights
-        hard = clean_at[np.argsort(-nearest[clean_at], kind="stable")[:2000]]
-        negative = np.unique(np.concatenate([hard, np.random.default_rng(0).permutation(clean_at)[:1000]]))
-        # Garbled forms of the whole words among the landmarks are positive too.
-        garbled = [g for p in found if p in at for g in _garbled(p)]
-        x = np.vstack([mapped[witness], bare.features([START + g for g in garbled]) @ white, mapped[negative]])
-        y = np.concatenate([np.ones(len(witness) + len(garbled)), -np.ones(len(negative))])
-        cost = np.where(y > 0, 5.0, 5.0 * max(1.0, (y > 0).sum() / len(negative)))
-        w = _machine(x, y, cost)
-        weights, bias = white @ w[:-1], float(w[-1])
-        strength = raw @ weights + bias
-        held = (held | (strength > 0)) & never & (strength > -1)
+    kernels = np.vstack([bare.features([START + p[:WINDOW] for p in every[k : k + 20_000]]) for k in range(0, len(every), 20_000)])
+    # Garbled forms of the whole words among the landmarks are positive too.
+    garbled = bare.features([START + g for p in found if p in at for g in _garbled(p)])
+    model = _first_machine(marks, found, white, kernels, garbled, at, bags, rest)
     label = np.arange(len(bags) + len(rest)) < len(bags)
-    if weights is None:
-        # No piece is a proof alone: all have a low margin.
-        model = Model(marks, np.zeros(len(marks)), -1.0)
-    else:
-        model = Model(marks, weights, bias)
-        # Calibration on the documents: a logistic curve over the margin of the strongest piece.
-        margin = np.array([max(strength[at[p]] for p in d) for d in (*bags, *rest)])
-        model.slope, model.offset = _calibrated(margin, label)
+    bags, rest = ([sorted({p for s in d for p in s}) for d in docs] for docs in (bags, rest))
+    clean_at = np.array(sorted({at[p] for r in rest for p in r}))
     # The second machine: what begins like a landmark found against all else, whichever documents have it.
-    favoured = np.array([p.startswith(begins) for p in every])
+    favoured = np.array([p.startswith(tuple(found)) for p in every])
     positive = np.array(sorted({at[p] for d in bags for p in d if favoured[at[p]]}))
     others = clean_at[~favoured[clean_at]]
-    nearest = raw[:, : len(found)].max(1)
+    nearest = kernels[:, : len(found)].max(1)
     hard = others[np.argsort(-nearest[others], kind="stable")[:2000]]
     negative = np.unique(np.concatenate([hard, np.random.default_rng(1).permutation(others)[:1000]]))
     if not len(negative):
         return model
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     cost = np.where(y > 0, 5.0 * max(1.0, len(negative) / len(positive)), 5.0)
-    w = _machine(np.vstack([mapped[positive], mapped[negative]]), y, cost)
+    w = _machine(kernels[np.concatenate([positive, negative])] @ white, y, cost)
     weights, bias = white @ w[:-1], float(w[-1])
-    hit = raw @ weights + bias > 0
+    hit = kernels @ weights + bias > 0
     hits = np.array([sum(hit[at[p]] for p in d) for d in (*bags, *rest)])
     rates = [float((hits[x].sum() + 0.5) / (words[x].sum() + 1)) for x in (label, ~label)]
     if rates[0] > rates[1]:
@@ -435,13 +473,14 @@ def _calibrated(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], list[str]]:
-    """Texts of ``TOXIC`` rows labelled 1 and ``CLEAN`` labelled 0, first by a hash of their id."""
+    """Texts of ``TOXIC`` ids labelled 1 and ``CLEAN`` labelled 0, first by a hash of their id; one text for each id."""
     out = []
     for value, most in ((1, TOXIC), (0, CLEAN)):
-        ids = labels.filter(F.col(label) == value).select(F.col(doc_id).alias("id")).filter("id IS NOT NULL")
+        ids = labels.filter(F.col(label) == value).select(F.col(doc_id).alias("id")).filter("id IS NOT NULL").distinct()
         chosen = ids.orderBy(F.xxhash64("id"), "id").limit(most)  # so few rows can be broadcast
-        rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "id")
-        out.append([r["text"] for r in rows.orderBy(F.xxhash64("id"), "id", "text").collect() if r["text"]])
+        rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).filter(F.length("text") > 0).join(F.broadcast(chosen), "id")
+        rows = rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        out.append([r["text"] for r in rows.orderBy(F.xxhash64("id"), "id").collect()])
     return out[0], out[1]
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from crawlgate.llm import fingerprints, language_id, license_scan, lm_score, quality_rules, toxicity
 from crawlgate.llm.elias_fano import EliasFano, Trie, probability
@@ -223,7 +224,7 @@ def test_elias_fano(values, asked):
     words = np.concatenate(EliasFano.encode(values))
     read, end = EliasFano.read(words, 0)
     assert end == len(words)
-    assert (read.all() == values).all()
+    assert (read.get(np.arange(len(values))) == values).all()
     asked = np.array([*asked, *values.tolist()], np.uint64)
     at, hit = read.successor(asked)
     assert at.tolist() == np.searchsorted(values, asked).tolist()
@@ -241,8 +242,13 @@ def test_trie_in_a_mapped_file(tmp_path):
     word = np.array([words.index(w) for _, w in keys])
     data = Trie.build(np.array(contexts, np.uint64), np.array(words, np.uint64), owner, word, np.array([seen[k] for k in keys]))
     (tmp_path / "trie").write_bytes(data)
-    with open(tmp_path / "trie", "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as mapped:
-        trie = Trie(bytes(mapped))
+    f = open(tmp_path / "trie", "rb")
+    mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    trie = Trie(mapped)
+    # All that it reads are views of the file.
+    whole = np.frombuffer(mapped, np.uint8)
+    parts = [x for s in (trie.contexts, trie.words, trie.pointers, trie.successors, trie.counts) for x in (s.low, s.high, s.ones)]
+    assert all(np.shares_memory(x, whole) for x in [*parts, trie.codes] if len(x))
     total = Counter()
     for (c, _), n in seen.items():
         total[c] += n
@@ -252,7 +258,27 @@ def test_trie_in_a_mapped_file(tmp_path):
     p = probability(trie.code(place, trie.number(ask_w)))
     for i, (c, w) in enumerate(zip(ask_c.tolist(), ask_w.tolist())):
         assert n[i] == total[c] and t[i] == sum(1 for k in seen if k[0] == c)
-        assert p[i] == pytest.approx(seen[c, w] / total[c] if total[c] else 0, rel=1e-3)
+        assert p[i] == pytest.approx(seen[c, w] / (total[c] + t[i]) if total[c] else 0, rel=1e-3)
+
+
+def test_a_trie_is_compact():
+    """Bytes of a trie of a million n-grams, and what opening and asking it takes besides."""
+    import tracemalloc
+
+    r = np.random.default_rng(0)
+    keys = np.unique(r.zipf(1.3, 3_000_000).clip(0, 40_000) * 50_000 + r.zipf(1.2, 3_000_000).clip(0, 49_999))
+    owner, word = np.divmod(keys, 50_000)
+    cs, c = np.unique(owner, return_inverse=True)
+    ws, w = np.unique(word, return_inverse=True)
+    data = Trie.build(r.integers(2, 2**63, len(cs)).astype(np.uint64).cumsum() // 2**16, np.sort(r.integers(2, 2**63, len(ws)).astype(np.uint64)), c, w, r.integers(1, 90, len(keys)))
+    # 64-bit hashes of contexts and words beside, an n-gram takes less than four bytes.
+    assert len(data) < 4 * len(keys) + 9 * (len(cs) + len(ws))
+    tracemalloc.start()
+    trie = Trie(data)
+    assert tracemalloc.get_traced_memory()[1] < 10_000
+    trie.code(np.zeros(1000, np.int64), np.arange(1000))
+    assert tracemalloc.get_traced_memory()[1] < len(data) / 4 + 2_000_000
+    tracemalloc.stop()
 
 
 @pytest.mark.parametrize("block", [2_000_000, 300])
@@ -280,6 +306,15 @@ def test_lm_scores(spark, tmp_path, monkeypatch, block):
         assert x["score"] == pytest.approx(sum(map(math.log10, p)), rel=1e-3)
 
 
+def test_lm_ids_of_any_type(spark):
+    big = 2**60 + 1
+    rows = spark.createDataFrame([(big, "a b"), (None, "a"), (big + 2, None)], "`the.id` long, text string")
+    out = lm_score.score(rows, F.lit(True), "the.id").collect()
+    assert {r["doc_id"] for r in out} == {big, None, big + 2}
+    named = spark.createDataFrame([("x", "a b")], "name string, text string")
+    assert lm_score.score(named, F.lit(True), "name").first()["doc_id"] == "x"
+
+
 def test_lm_beats_the_base(spark):
     found = lm_score.query(spark, SF).toPandas()
     out = found[found.held_out]
