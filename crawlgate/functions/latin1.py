@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ _SIGNS = {"rule": r'"<>`', "path": r'"<>`{}', "query": r"\"<>'", "plain_query":
 _UPPER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` made once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def from_bytes(content: Column) -> Column:
     """A binary column as Latin-1 text."""
     return F.decode(content, "ISO-8859-1")

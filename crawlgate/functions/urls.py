@@ -1,7 +1,7 @@
 """URL functions by the WHATWG rules, as column expressions.
 
-Hosts that need IDNA, and IPv4 addresses in other notations, are not
-converted: the former give the error ``IdnaUnsupported``.
+Hosts of special schemes are decoded, brought to ASCII and, if they are
+addresses, written in the one form that an address has; see ``hosts``.
 """
 
 from __future__ import annotations
@@ -9,14 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crawlgate.functions.latin1 import from_text, lower_ascii, percent_encode
+from crawlgate.functions.hosts import host_of
+from crawlgate.functions.latin1 import from_text, let, lower_ascii, percent_encode
 
 SPECIAL = ("http", "https", "ws", "wss", "ftp", "file")
 _DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
-#: Characters that no host of a special scheme may have.
-_BAD_HOST = r"[\x00-\x20\x7f#%/:<>?@\[\\\]^|]"
-
 
 def parse(url: Column) -> Column:
     """A struct of ``scheme host port path query fragment`` (encoded) and ``error``, null if it parsed.
@@ -24,12 +22,7 @@ def parse(url: Column) -> Column:
     The URL is taken as Latin-1 bytes (see ``from_text``).
     """
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(from_text(url), r"^[\x00-\x20]+", ""), r"[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    return F.get(F.transform(F.array(text), _parsed), 0)
-
-
-def _let(value: Column, then) -> Column:
-    """``then(value)`` with ``value`` made once."""
-    return F.get(F.transform(F.array(value), then), 0)
+    return let(text, _parsed)
 
 
 def _parsed(text: Column) -> Column:
@@ -39,7 +32,7 @@ def _parsed(text: Column) -> Column:
     body = F.regexp_extract(text, _SCHEME + r"([^?#]*)", 2)
     special = scheme.isin(*SPECIAL)
     body = F.when(special, F.translate(body, "\\", "/")).otherwise(body)
-    return _let(F.struct(text.alias("text"), scheme.alias("scheme"), special.alias("special"), body.alias("body"), query.alias("query"), fragment.alias("fragment")), _split)
+    return let(F.struct(text.alias("text"), scheme.alias("scheme"), special.alias("special"), body.alias("body"), query.alias("query"), fragment.alias("fragment")), _split)
 
 
 def _split(u: Column) -> Column:
@@ -57,7 +50,7 @@ def _split(u: Column) -> Column:
         F.when(listed, F.regexp_extract(body, r"^/*([^/]*)", 1)).otherwise(F.regexp_extract(body, r"^//([^/]*)", 1)).alias("netloc"),
         F.when(listed, F.regexp_extract(body, r"^/*[^/]*([\x00-\xff]*)", 1)).when(parted, F.regexp_extract(body, r"^//[^/]*([\x00-\xff]*)", 1)).otherwise(body).alias("path"),
     )
-    return _let(cut, lambda c: _let(F.regexp_replace(c["netloc"], r"^[\x00-\xff]*@", ""), lambda after: _hosted(c, after)))
+    return let(cut, lambda c: let(F.regexp_replace(c["netloc"], r"^[\x00-\xff]*@", ""), lambda after: _hosted(c, after)))
 
 
 def _hosted(c: Column, after: Column) -> Column:
@@ -67,22 +60,30 @@ def _hosted(c: Column, after: Column) -> Column:
         F.when(bracket, F.regexp_extract(after, r"^\[[^\]]*\]([\x00-\xff]*)", 1)).otherwise(F.regexp_extract(after, r"^[^:]*([\x00-\xff]*)", 1)).alias("rest"),
         bracket.alias("bracket"),
     )
-    return _let(named, lambda h: _let(F.regexp_replace(F.regexp_extract(h["rest"], r"^:([0-9]*)$", 1), r"^0+(?=[0-9])", ""), lambda port: _made(c, h, port)))
+
+    def hosted(h: Column) -> Column:
+        port = F.regexp_replace(F.regexp_extract(h["rest"], r"^:([0-9]*)$", 1), r"^0+(?=[0-9])", "")
+        plain = F.struct(h["host"].alias("host"), F.lit(None).cast("string").alias("error"))
+        known = F.when(c["special"] & (h["host"] != ""), host_of(h["host"])).otherwise(plain)
+        return let(F.struct(port.alias("port"), known.alias("known")), lambda x: _made(c, h, x["port"], x["known"]))
+
+    return let(named, hosted)
 
 
-def _made(c: Column, h: Column, port: Column) -> Column:
+def _made(c: Column, h: Column, port: Column, known: Column) -> Column:
     scheme, host = c["scheme"], h["host"]
     error = (
         F.when(scheme == "", F.lit("RelativeUrlWithoutBase"))
+        .when(c["special"] & h["bracket"] & (host == ""), F.lit("InvalidIpv6Address"))
         .when(c["listed"] & (host == ""), F.lit("EmptyHost"))
         .when(c["has_netloc"] & ~h["rest"].rlike(r"^(:[0-9]*)?$"), F.lit("InvalidPort"))
         .when((F.length(port) > 5) | (port.try_cast("int") > 65535), F.lit("InvalidPort"))
-        .when(c["special"] & ~h["bracket"] & F.regexp_replace(host, "%[0-9A-Fa-f]{2}", "").rlike(_BAD_HOST), F.lit("InvalidDomainCharacter"))
+        .otherwise(known["error"])
     )
     usual = F.create_map(*[F.lit(x) for kv in _DEFAULT_PORTS.items() for x in kv])
     return F.struct(
         scheme.alias("scheme"),
-        F.when(c["special"], lower_ascii(host)).otherwise(host).alias("host"),
+        known["host"].alias("host"),
         F.when(usual[scheme] == port, F.lit("")).otherwise(port).alias("port"),
         F.when(c["opaque"], percent_encode(c["path"], "control")).otherwise(_path(c["path"], c["special"])).alias("path"),
         F.when(c["special"], percent_encode(c["query"], "query")).otherwise(percent_encode(c["query"], "plain_query")).alias("query"),
@@ -109,11 +110,24 @@ def _path(path: Column, special: Column) -> Column:
     # Only paths that hold a dot segment are folded.
     dotted = path.rlike(r"(?i)(?:^|/)(?:\.|%2e){1,2}(?:/|$)")
     whole = F.when(dotted, F.concat(F.lit("/"), F.array_join(resolved, "/"))).otherwise(path)
-    return _let(whole, lambda w: _let(F.when(special & ~w.startswith("/"), F.concat(F.lit("/"), w)).otherwise(w), lambda x: percent_encode(x, "path")))
+    return let(whole, lambda w: let(F.when(special & ~w.startswith("/"), F.concat(F.lit("/"), w)).otherwise(w), lambda x: percent_encode(x, "path")))
+
+
+#: Absolute URLs that stay as they are behind the host: a host of letters whose last part is no number, no sign to encode, no
+#: dot segment, a short port.
+_PLAIN = r"^[Hh][Tt][Tt][Pp][Ss]?://(?:[A-Za-z0-9\-]+[.])*[A-Za-z][A-Za-z0-9\-]*(?::[0-9]{1,4})?(?:(?!.*(?:/[.]|%2[Ee]))[/?#][!#$&(-;=?@A-Z\[\]_a-z~%]*)?\z"
+
+
+def _plain_target(url: Column) -> Column:
+    return let(F.regexp_replace(url, "^[^/]*//[^/?#]*", ""), lambda tail: F.when(tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail)))
 
 
-#: Absolute URLs that stay as they are behind the host: no sign to encode, no dot segment, a short port.
-_PLAIN = r"^[Hh][Tt][Tt][Pp][Ss]?://[A-Za-z0-9.\-]+(?::[0-9]{1,4})?(?:(?!.*(?:/[.]|%2[Ee]))[/?#][!#$&(-;=?@A-Z\[\]_a-z~%]*)?\z"
+def _plain_origin(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, "^([^/]*//[^/?#]*)", 1)), "^(http:.*):0*80$|^(https:.*):0*443$", "$1$2"), ":0*(?=[0-9]|$)", ":")
+
+
+def _target(url: Column, u: Column) -> Column:
+    return F.coalesce(F.when(u["error"].isNull(), F.concat(u["path"], u["query"], u["fragment"])), let(from_text(url), lambda t: percent_encode(t, "rule")))
 
 
 def prepare_url(url: Column) -> Column:
@@ -121,31 +135,31 @@ def prepare_url(url: Column) -> Column:
 
     Plain URLs, and those that begin with a slash, need no parsing.
     """
-    tail = F.regexp_replace(url, "^[^/]*//[^/?#]*", "")
-    target = _let(parse(url), lambda u: F.when(u["error"].isNull(), F.concat(u["path"], u["query"], u["fragment"])))
-    relative = _let(from_text(url), lambda t: percent_encode(t, "rule"))
-    return (
-        F.when(url == "", F.lit("/"))
-        .when(url.rlike(_PLAIN), F.when(tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail)))
-        .when(url.startswith("/"), relative)
-        .otherwise(F.coalesce(target, relative))
-    )
+    relative = let(from_text(url), lambda t: percent_encode(t, "rule"))
+    parsed = let(parse(url), lambda u: _target(url, u))
+    return F.when(url == "", F.lit("/")).when(url.rlike(_PLAIN), _plain_target(url)).when(url.startswith("/"), relative).otherwise(parsed)
+
+
+def _located(u: Column) -> Column:
+    error = F.when(u["error"].isNotNull(), u["error"]).when(u["opaque"], F.lit("SetHostOnCannotBeABaseUrl")).when(~u["scheme"].isin("http", "https"), F.lit("EmptyHost"))
+    found = F.concat(u["scheme"], F.lit("://"), u["host"], F.when(u["port"] != "", F.concat(F.lit(":"), u["port"])).otherwise(""), F.lit("/robots.txt"))
+    return F.struct(F.when(error.isNull(), found).alias("robots_url"), error.alias("error"))
 
 
 def robots_location(url: Column) -> Column:
     """A struct of ``robots_url`` and ``error``, of which one is null."""
+    return let(parse(url), _located)
+
+
+def located_target(url: Column) -> Column:
+    """A struct of ``origin`` and ``target`` (see ``prepare_url``), by one parse, or none for a plain URL."""
+
+    def both(u: Column) -> Column:
+        target = F.when(url == "", F.lit("/")).otherwise(_target(url, u))
+        return F.struct(F.regexp_replace(_located(u)["robots_url"], "/robots\\.txt$", "").alias("origin"), target.alias("target"))
 
-    def located(u: Column) -> Column:
-        error = (
-            F.when(u["error"].isNotNull(), u["error"])
-            .when(u["opaque"], F.lit("SetHostOnCannotBeABaseUrl"))
-            .when(~u["scheme"].isin("http", "https"), F.lit("EmptyHost"))
-            .when(u["host"].rlike(r"[\x80-\xff]"), F.lit("IdnaUnsupported"))
-        )
-        found = F.concat(u["scheme"], F.lit("://"), u["host"], F.when(u["port"] != "", F.concat(F.lit(":"), u["port"])).otherwise(""), F.lit("/robots.txt"))
-        return F.struct(F.when(error.isNull(), found).alias("robots_url"), error.alias("error"))
-
-    return _let(parse(url), located)
+    plain = F.struct(_plain_origin(url).alias("origin"), _plain_target(url).alias("target"))
+    return F.when(url.rlike(_PLAIN), plain).otherwise(let(parse(url), both))
 
 
 def origin(url: Column) -> Column:

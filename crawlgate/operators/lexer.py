@@ -1,6 +1,8 @@
 """Robots files to lines and directives, forgiving as crawlers are.
 
-One narrow projection and one ``posexplode``: no shuffle, no user function.
+``lexed`` reads one line; ``directives`` is a row a line, by one ``posexplode``,
+and ``entries`` is a file's directives as an array in the file's row.  No
+shuffle, no user function.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlgate.functions.latin1 import from_bytes, to_text, trim
+from crawlgate.functions.latin1 import from_bytes, let, to_text, trim
 
 #: Spellings of each directive (fixed values).
 KEYWORDS = {
@@ -33,33 +35,47 @@ def text_lines(content: Column, max_bytes: int | None = None) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def lines(robots: DataFrame, max_bytes: int | None = None, outer: bool = False) -> DataFrame:
-    """``robots_id``, ``line_no`` from 0, ``line``; with ``outer`` a row of nulls for a file without lines."""
-    explode = F.posexplode_outer if outer else F.posexplode
-    return robots.select("robots_id", explode(text_lines(F.col("content"), max_bytes)).alias("line_no", "line"))
+def lines(robots: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``robots_id``, ``line_no`` from 0, ``line``."""
+    return robots.select("robots_id", F.posexplode(text_lines(F.col("content"), max_bytes)).alias("line_no", "line"))
 
 
-def directives(robots: DataFrame, max_bytes: int | None = None, outer: bool = False) -> DataFrame:
+def lexed(line: Column) -> Column:
+    """A line as a struct of ``kind``, ``value`` (Latin-1) and ``delay``."""
+
+    def read(x: Column) -> Column:
+        kind = F.lit("raw")
+        for name, words in KEYWORDS.items():
+            kind = F.when(x["word"].isin(*words), name).otherwise(kind)
+        return let(F.struct(kind.alias("kind"), trim(x["rest"]).alias("text")), judged)
+
+    def judged(x: Column) -> Column:
+        kind, text = x["kind"], x["text"]
+        number = F.when(kind == "crawl_delay", F.when(text.rlike(_FLOAT), text.try_cast("float")))
+        # A delay that is no number is an unknown line; an empty Disallow allows all.
+        delay = let(number, lambda n: F.when(n.isNull() | F.isnan(n) | (n < 0), raw).otherwise(entry(kind, text, n)))
+        return F.when(kind == "crawl_delay", delay).when((kind == "disallow") & (text == ""), entry(F.lit("allow"), F.lit("/"))).otherwise(entry(kind, text))
+
+    def entry(kind: Column, value: Column, delay: Column | None = None) -> Column:
+        return F.struct(kind.alias("kind"), value.alias("value"), (F.lit(None).cast("float") if delay is None else delay).alias("delay"))
+
+    raw = entry(F.lit("raw"), line)
+    words = F.struct(F.lower(F.regexp_extract(line, STATEMENT, 1)).alias("word"), F.regexp_extract(line, STATEMENT, 2).alias("rest"))
+    return F.when(line.rlike(STATEMENT), let(words, read)).otherwise(raw)
+
+
+def directives(robots: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``robots_id``, ``line_no``, ``kind``, ``value`` (Latin-1) and ``delay`` of every line."""
-    word = F.lower(F.regexp_extract("line", STATEMENT, 1))
-    kind = F.lit("raw")
-    for name, words in KEYWORDS.items():
-        kind = F.when(F.col("word").isin(*words), name).otherwise(kind)
-    rows = lines(robots, max_bytes, outer).select("*", word.alias("word"))
-    rows = rows.select("*", F.when(F.col("word") != "", trim(F.regexp_extract("line", STATEMENT, 2))).otherwise("").alias("text"))
-    rows = rows.select("robots_id", "line_no", "line", kind.alias("kind"), "text", F.when(kind == "crawl_delay", F.when(F.col("text").rlike(_FLOAT), F.col("text").try_cast("float"))).alias("number"))
-    good = F.col("number").isNotNull() & ~F.isnan("number") & (F.col("number") >= 0)
-    # A delay that is no number is an unknown line; an empty Disallow allows all.
-    kind = F.when((F.col("kind") == "crawl_delay") & ~F.coalesce(good, F.lit(False)), "raw").when((F.col("kind") == "disallow") & (F.col("text") == ""), "allow_all").otherwise(F.col("kind"))
-    rows = rows.withColumn("kind", kind)
-    value = F.when(F.col("kind") == "raw", F.col("line")).when(F.col("kind") == "allow_all", "/").otherwise(F.col("text"))
-    return rows.select(
-        "robots_id",
-        "line_no",
-        F.when(F.col("kind") == "allow_all", "allow").otherwise(F.col("kind")).alias("kind"),
-        value.alias("value"),
-        F.when(F.col("kind") == "crawl_delay", F.col("number")).alias("delay"),
-    )
+    return lines(robots, max_bytes).select("robots_id", "line_no", F.inline(F.array(lexed(F.col("line")))))
+
+
+def entries(content: Column, max_bytes: int | None = None) -> Column:
+    """A file's directives in order: structs of ``line_no``, ``kind``, ``value`` and ``delay``; unknown lines are left out."""
+
+    def numbered(line: Column, i: Column) -> Column:
+        return F.when(line.rlike(STATEMENT), let(lexed(line), lambda e: F.when(e["kind"] != "raw", F.struct(i.alias("line_no"), e["kind"].alias("kind"), e["value"].alias("value"), e["delay"].alias("delay")))))
+
+    return F.filter(F.transform(text_lines(content, max_bytes), numbered), lambda e: e.isNotNull())
 
 
 def debug_lines(parsed: DataFrame) -> DataFrame:

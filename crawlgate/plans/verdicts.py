@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlgate.functions.urls import origin, prepare_url
+from crawlgate.functions.urls import located_target, prepare_url
 from crawlgate.operators.patterns import RULE_TYPE, decision
 
 
 def prepared(urls: DataFrame) -> DataFrame:
     """``urls`` with ``origin`` and ``target``, the text that rules are matched with."""
-    return urls.withColumns({"origin": origin(F.col("url")), "target": prepare_url(F.col("url"))})
+    return urls.select("*", F.inline(F.array(located_target(F.col("url")))))
 
 
 def score(urls: DataFrame, policies: DataFrame) -> DataFrame:
