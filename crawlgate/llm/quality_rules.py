@@ -39,18 +39,32 @@ class Rule:
 RULES = (
     Rule("word_length", "word_chars", "n_words", low=2000, high=12000),
     Rule("symbols", "n_symbols", "n_words", high=100),
-    Rule("stop_words", "n_stop_words", "n_words", low=20, min_words=50),
+    Rule("stop_words", "n_stop_words", "n_latin_words", low=20, min_words=50),
     Rule("upper_case_words", "n_upper_words", "n_words", high=500),
     Rule("repeated_lines", "n_dup_lines", "n_lines", high=500),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", high=300),
 )
 
-#: Frequent words of English, German, French and Spanish.
+#: Frequent words of English, German, French and Spanish, then of Italian, Portuguese, Dutch, Swedish, Danish and
+#: Norwegian, Polish, Czech, Finnish, Hungarian, Turkish, Romanian and Indonesian.  Only words with letters from A to Z are held
+#: against them, so texts in other scripts are judged by the other rules.
 STOP_WORDS = (
     "a an and are as at be by for from he in is it of on or that the they this to was what which with you "
     "als auch auf das dem den der des die ein eine er es im ist mit nicht sich sie und von zu "
     "au avec ce dans de des du elle en est et il la le les ne pas pour par que qui se sur un une "
-    "al con del el ella en es la las lo los no para por que se su un una y"
+    "al con del el ella en es la las lo los no para por que se su un una y "
+    "che di gli non per sono "
+    "as com da do dos em mais não os uma "
+    "aan dat een het met niet op te van voor zijn "
+    "att av det för inte med och på som är "
+    "af at blev og som til "
+    "do jest na nie się to w z że "
+    "byl do je na se ve že "
+    "ei ja joka kun mutta on oli se "
+    "az egy és hogy nem van "
+    "bir bu çok da de için ile ve "
+    "ce cu din este în pe și "
+    "dan dengan di ini itu untuk yang"
 ).split()
 STOP_WORDS = tuple(sorted(set(STOP_WORDS)))
 
@@ -95,7 +109,7 @@ def _repeated_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(windows), _let(F.array_sort(windows), covered)).otherwise(0)
 
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_repeat_words", "n_stop_words", "n_upper_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_repeat_words", "n_stop_words", "n_latin_words", "n_upper_words")
 
 
 def _counts(text: Column, words: Column, lines: Column) -> Column:
@@ -108,6 +122,7 @@ def _counts(text: Column, words: Column, lines: Column) -> Column:
         "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.endswith("...") | x.endswith("…"))),
         "n_repeat_words": _let(_windows(words), _repeated_words),
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))),
+        "n_latin_words": F.size(F.filter(words, lambda w: w.rlike("[A-Za-z]"))),
         "n_upper_words": F.size(F.filter(words, lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1))),
     }
     return F.struct(*[c.cast("long").alias(k) for k, c in counts.items()])
@@ -196,6 +211,7 @@ def measures_sql(docs: str = "documents") -> str:
         CAST(len(list_filter(lines, lambda x: ends_with(x, '...') OR ends_with(x, chr(8230)))) AS BIGINT) AS n_ellipsis_lines,
         CAST(len(list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 5))))) AS BIGINT) AS n_repeat_words,
         CAST(len(list_filter(words, lambda w: lower(w) IN ({stops}))) AS BIGINT) AS n_stop_words,
+        CAST(len(list_filter(words, lambda w: regexp_matches(w, '[A-Za-z]'))) AS BIGINT) AS n_latin_words,
         CAST(len(list_filter(words, lambda w: upper(w) = w AND lower(w) <> w AND length(w) > 1)) AS BIGINT) AS n_upper_words
       FROM marked
     ), failed AS (

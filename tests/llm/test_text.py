@@ -40,6 +40,20 @@ def test_quality_keeps_clean_documents(spark):
     assert judged[judged.quality == 0].kept.mean() < 0.05
 
 
+def test_quality_of_other_languages(spark):
+    """Texts of languages that the first four of the table do not stand for are not rejected for want of stop words."""
+    texts = [
+        "La casa che si vede dalla strada non era di mia nonna, ma per molti anni sono andato a trovare gli amici che vivevano di fronte e parlavano con lei " * 3,
+        "Dom, który widać z drogi, nie jest już nasz, ale co roku wracam do ogrodu na wsi i to jest dla mnie ważne, że się nie zmienia " * 3,
+        "Дом, который виден с дороги, уже давно не наш, но каждый год мы возвращаемся в сад и говорим о том, что было раньше и что будет потом " * 3,
+        "Το σπίτι που φαίνεται από τον δρόμο δεν είναι πια δικό μας αλλά κάθε χρόνο γυρίζουμε στον κήπο και μιλάμε για όσα έγιναν παλιά στο χωριό " * 3,
+        "qxv zzkt brrp gnnf wq xkcd plmn vbgt qqz " * 9,
+    ]
+    texts = [" ".join(w if i % 4 else f"{w}{i}" for i, w in enumerate(t.split())) for t in texts]  # no repeated windows
+    rows = quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["quality_rules"]["kept"] for r in rows] == [True, True, True, True, False]
+
+
 def test_language_held_out(spark):
     found = language_id.query(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "n_chars"), "doc_id").toPandas()
     out = found[found.held_out & (found.n_chars > 60)]
