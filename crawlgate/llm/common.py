@@ -37,16 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, deleted when the driver ends."""
+    """``df`` as a Parquet table in the shared folder, deleted by ``discard`` or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/crawlgate-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that ``written`` returned, which nothing must read any more."""
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        files, at = _file_system(df.sparkSession, path)
+        files.delete(at, True)
+
+
 #: Characters of file names that are broadcast to number files; beyond it rows are numbered in a copy.
 MOST_NAMES = 32_000_000
 

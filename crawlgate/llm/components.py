@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlgate.llm.common import written
+from crawlgate.llm.common import discard, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,7 +14,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round hangs the larger neighbours of a node on its least neighbour,
     then the smaller ones, until nothing changes.  Neighbours are never
     gathered: a round is a minimum for each node, made before the shuffle, and
-    a join.  The rounds' tables are in the shared folder.
+    a join.  The rounds' tables are in the shared folder, each until the next is
+    there.
     """
     pair = lambda x, y: [F.greatest(x, y).alias("u"), F.least(x, y).alias("v")]
     edges = written(links.select(*pair(F.col(a), F.col(b))).filter("u <> v").distinct(), "edges")
@@ -27,7 +28,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         after = written(moved.distinct(), "edges")
         mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
-        if mark(after) == mark(edges):
+        done = mark(after) == mark(edges)
+        discard(edges)
+        if done:
             break
         edges = after
     rooted = after.select(F.col("u").alias("node"), F.col("v").alias("root"))
