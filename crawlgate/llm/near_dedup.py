@@ -10,10 +10,10 @@ values; two sets of similarity s share a band with probability
 2. In each bucket of a band all members are paired with the least one, and the
    distinct pairs are confirmed on the full sets.
 3. Buckets whose members are then in one component are done.  In the others
-   all members of different components are compared, by their full sets; large
-   buckets are split into blocks and each pair of blocks is a task.  Each task
-   returns a spanning forest of the links it found, so what comes out grows
-   with the members and not with their pairs.
+   all members outside the bucket's largest component are compared with all
+   others, by their full sets, a pair of blocks a task.  Each task returns a
+   spanning forest of the links it found, so what comes out grows with the
+   members and not with their pairs.
 
 No bucket is capped.  Defined results: a text without words (or null) has an
 empty set and is linked with nothing.  Rows are told apart by the numbers that
@@ -151,20 +151,29 @@ def _forest(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
 
 
 def _rest(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links across components inside the buckets that hold several."""
+    """Links across components inside the buckets that hold several.
+
+    A link has an end outside the bucket's largest component, so only what is
+    outside is compared with all: the members of the largest are not compared
+    with each other, however many there are.
+    """
     marked = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = marked.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s")
+    parts = marked.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
+    largest = parts.groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("major"), F.sum("m").alias("n"), F.max("m").alias("m")).filter("m < n")
     # Buckets of the same members are compared once.
-    members = marked.join(open_.select("key", "n"), "key")
+    members = marked.join(largest, "key")
     names = members.groupBy("key").agg(F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("y"), F.first("n").alias("n"))
-    once = names.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key", "n")
-    members = marked.join(once, "key")
-    # Block i of a bucket goes to the tasks (i, j) and (j, i) for each other block j.
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    dealt = members.select("key", "node", "root", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("key", "node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sets, "node")
+    once = written(names.groupBy("x", "y", "n").agg(F.min("key").alias("key")).select("key").join(largest, "key"), "open")
+    members = marked.join(once, "key").withColumn("minor", F.col("root") != F.col("major"))
+    # Minor block i meets each minor block j in the task (i, j), and each major block j in (i, -1 - j).
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    minors, majors = blocks(F.col("n") - F.col("m")), blocks(F.col("m"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("minor"), minors).otherwise(majors)).cast("int"))
+    task = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    among = F.transform(F.sequence(F.lit(0), minors - 1), lambda j: task(F.least("own", j), F.greatest("own", j)))
+    across = F.transform(F.sequence(F.lit(0), majors - 1), lambda j: task(F.col("own"), -1 - j))
+    met = F.transform(F.sequence(F.lit(0), minors - 1), lambda i: task(i, -1 - F.col("own")))
+    dealt = members.select("key", "node", "root", F.inline(F.when(F.col("minor"), F.concat(among, across)).otherwise(met))).join(sets, "node")
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_forest(group, percent), columns=["a", "b"]).astype("int64")
