@@ -194,6 +194,58 @@ def test_toxicity_learns_insults():
     assert ((0 <= scores) & (scores < 0.5)).all()
 
 
+def plain_toxicity(model, text, kernels={}):
+    """The score of a text by a learnt model, piece by piece, with the kernel by its definition."""
+    import re
+
+    def kernel(s, t):
+        if (s, t) not in kernels:
+            kernels[s, t] = plain_kernel(s, t, toxicity.ORDER, toxicity.DECAY)
+        return kernels[s, t]
+
+    def windows(p):
+        cut = [p[k : k + 24] for k in range(0, max(1, len(p) - 12), 12)] if len(p) > 24 else [p]
+        out = []
+        for k, x in enumerate(cut):
+            x = x if k else toxicity.START + x
+            marked = [toxicity.START + y for y in model.landmarks]
+            out.append([kernel(x, y) / max(math.sqrt(kernel(x, x) * kernel(y, y)), 1e-12) if len(x) > 3 else 0.0 for y in marked])
+        return np.array(out)
+
+    def margin_of(sentence):
+        return np.max([np.zeros(len(model.landmarks)), *(windows(p).max(0) for p in sentence)], axis=0) @ model.weights + model.bias
+
+    words = (text or "").split()
+    strip = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w.lower())
+    sentences, joined, own = [], [], []
+    for i, w in enumerate(words):
+        own.append(w)
+        if i + 1 == len(words) or re.search(r"[.!?][^\w\s]*$", w):
+            single = [strip(x) for x in own]
+            sentences.append([p for p in single if len(p) > 1])
+            joined.append([p for p in re.sub(r"(?<!\S)(\S(?: \S){2,})(?!\S)", lambda m: m[0].replace(" ", ""), " ".join(x for x in single if x)).split() if len(p) > 1])
+            own = []
+    margin = max([model.bias if not words else -math.inf] + [margin_of(s) for s in sentences])
+    pieces = [p for s in sentences for p in s]
+    if joined != sentences:
+        margin = max([margin, *(margin_of(s) for s in joined if s)])
+        pieces = [p for s in joined for p in s]
+    score = 1 / (1 + math.exp(-(model.slope * margin + model.offset)))
+    if model.rate:
+        r = model.rate
+        hits = sum((windows(p) @ r.weights + r.bias > 0).any() for p in set(pieces))
+        ratio = hits * math.log(r.toxic / r.clean) - len(pieces) * (r.toxic - r.clean)
+        score = max(score, 1 / (1 + math.exp(-(r.slope * ratio + r.offset))))
+    return score
+
+
+def test_toxicity_scores_by_brute_force():
+    model = toxicity.learn(*insulted(2))
+    toxic, clean = insulted(3, n=24)
+    texts = [*toxic[:6], *clean[:6], None, "", "the an. or b l o c k h e a d ing! re", "blockhead", "x" * 60 + " numbskull.", "one. two? three!", "- . !", "a b"]
+    assert model.scores(texts) == pytest.approx([plain_toxicity(model, t) for t in texts], rel=1e-3)
+
+
 def test_toxicity_without_labels():
     assert toxicity.learn([], ["some text here"]).scores(["any"]).tolist() == [0.0]
 
