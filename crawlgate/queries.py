@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from crawlgate.operators.lexer import debug_lines, directives, lines
 from crawlgate.plans.policy import compile_policies, debug_policies, parsed_files
 from crawlgate.plans.verdicts import check, score
 from crawlgate.sources.robots_files import from_files, from_texts
+from crawlgate.sources.shared import shared_dir
 
 
 def _quoted(text: str) -> str:
@@ -292,14 +295,7 @@ def policy_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files as a source: every customer's file written to the shared folder, found by its name and read as bytes."""
-    from uuid import uuid4
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        from tempfile import mkdtemp
-
-        root = mkdtemp(prefix="crawlgate-")
-    path = f"{root}/crawlgate-files-{uuid4().hex}"
+    path = f"{shared_dir(spark)}/crawlgate-files-{uuid4().hex}"
     texts = _customer_texts(spark, sf_dir).select("robots_id", F.regexp_replace("txt", "<FF>|\u0000", "").alias("value"))
     texts.repartition("robots_id").write.partitionBy("robots_id").option("lineSep", "\n").text(path)
     found = from_files(spark, path, "*.txt")
