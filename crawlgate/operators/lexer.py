@@ -43,11 +43,13 @@ def lines(robots: DataFrame, max_bytes: int | None = None) -> DataFrame:
 def lexed(line: Column) -> Column:
     """A line as a struct of ``kind``, ``value`` (Latin-1) and ``delay``."""
 
-    def read(x: Column) -> Column:
+    def read(word: Column) -> Column:
         kind = F.lit("raw")
         for name, words in KEYWORDS.items():
-            kind = F.when(x["word"].isin(*words), name).otherwise(kind)
-        return let(F.struct(kind.alias("kind"), trim(x["rest"]).alias("text")), judged)
+            kind = F.when(word.isin(*words), name).otherwise(kind)
+        # Most lines are no more than one search; a statement takes a second one.
+        rest = F.struct(kind.alias("kind"), trim(F.regexp_extract(line, STATEMENT, 2)).alias("text"))
+        return F.when(word == "", raw).otherwise(let(rest, judged))
 
     def judged(x: Column) -> Column:
         kind, text = x["kind"], x["text"]
@@ -60,8 +62,7 @@ def lexed(line: Column) -> Column:
         return F.struct(kind.alias("kind"), value.alias("value"), (F.lit(None).cast("float") if delay is None else delay).alias("delay"))
 
     raw = entry(F.lit("raw"), line)
-    words = F.struct(F.lower(F.regexp_extract(line, STATEMENT, 1)).alias("word"), F.regexp_extract(line, STATEMENT, 2).alias("rest"))
-    return F.when(line.rlike(STATEMENT), let(words, read)).otherwise(raw)
+    return let(F.lower(F.regexp_extract(line, STATEMENT, 1)), read)
 
 
 def directives(robots: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -73,7 +74,7 @@ def entries(content: Column, max_bytes: int | None = None) -> Column:
     """A file's directives in order: structs of ``line_no``, ``kind``, ``value`` and ``delay``; unknown lines are left out."""
 
     def numbered(line: Column, i: Column) -> Column:
-        return F.when(line.rlike(STATEMENT), let(lexed(line), lambda e: F.when(e["kind"] != "raw", F.struct(i.alias("line_no"), e["kind"].alias("kind"), e["value"].alias("value"), e["delay"].alias("delay")))))
+        return let(lexed(line), lambda e: F.when(e["kind"] != "raw", F.struct(i.alias("line_no"), e["kind"].alias("kind"), e["value"].alias("value"), e["delay"].alias("delay"))))
 
     return F.filter(F.transform(text_lines(content, max_bytes), numbered), lambda e: e.isNotNull())
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crawlgate.functions.latin1 import percent_encode, to_text
+from crawlgate.functions.latin1 import let, percent_encode, to_text
 
 #: A pattern with "$" that is longer than this, stars in a row counted as one, is an error of its policy.
 MAX_ANCHORED = 1024
@@ -19,12 +19,12 @@ RULE_TYPE = "struct<seq:int,pattern:string,mode:string,parts:array<string>,tail_
 
 def compiled(seq: Column, value: Column, is_allowed: Column) -> Column:
     """A rule of a Latin-1 value; null if its bytes are not UTF-8."""
-    return F.when(to_text(value).isNotNull(), F.get(F.transform(F.array(percent_encode(value)), lambda p: _rule(seq, p, is_allowed)), 0))
+    return F.when(to_text(value).isNotNull(), let(percent_encode(value), lambda p: _rule(seq, p, is_allowed)))
 
 
 def _rule(seq: Column, pattern: Column, is_allowed: Column) -> Column:
     anchored, starred = F.contains(pattern, F.lit("$")), F.contains(pattern, F.lit("*"))
-    short = F.regexp_replace(pattern, "[*]+", "*")
+    short = F.when(F.contains(pattern, F.lit("**")), F.regexp_replace(pattern, "[*]+", "*")).otherwise(pattern)
     head = F.when(anchored, F.regexp_extract(short, r"^([^$]*)", 1)).otherwise(short)
     # After the first "$" only stars and more "$" leave anything to match.
     tail_ok = ~anchored | F.regexp_extract(short, r"^[^$]*([\x00-\xff]*)", 1).rlike(r"^[$*]*$")
