@@ -230,3 +230,32 @@ def dedupe(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 8
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: the table's near-duplicates on shingles of four words."""
     return components_of(table(spark, sf_dir, "documents"), width=4)
+
+
+#: DuckDB SQL: links by counting common shingles of one document of each class, components by reaching along links.
+ORACLE_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) >= 4 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM docs
+), classes AS (
+  SELECT min(r) AS c, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), shingles AS (
+  SELECT c, n, unnest(s) AS x FROM classes
+), links AS (
+  SELECT a.c AS x, b.c AS y FROM shingles a JOIN shingles b ON a.x = b.x AND a.c <> b.c
+  GROUP BY a.c, b.c HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach(c, d) AS (
+  SELECT c, c FROM classes UNION SELECT reach.c, links.y FROM reach JOIN links ON links.x = reach.d
+), roots AS (
+  SELECT c, min(d) AS root FROM reach GROUP BY c
+), members AS (
+  SELECT sets.r, sets.doc_id, len(sets.s) AS n, roots.root FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN roots ON roots.c = classes.c
+), least AS (
+  SELECT root, min(doc_id) AS component_id FROM members WHERE root IS NOT NULL GROUP BY root
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN root IS NULL THEN doc_id ELSE component_id END AS component_id, coalesce(root IS NULL AND doc_id IS NOT NULL OR doc_id = component_id, false) AS kept
+FROM members LEFT JOIN least USING (root)
+"""

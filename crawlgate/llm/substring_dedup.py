@@ -444,3 +444,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = cut(docs.select("node", "text")).select("node", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     rows = whole.join(lost, "node", "left")
     return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+
+
+#: DuckDB SQL: windows by their place, those that occur twice by digest, and the runs that they cover.
+ORACLE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS body FROM documents
+), windows AS (
+  SELECT r, i, md5(body[i + 1:i + 200]) AS h FROM (SELECT r, body, unnest(range(octet_length(body) - 199)) AS i FROM docs WHERE octet_length(body) >= 200)
+), repeated AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), starts AS (
+  SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200, true) AS opens FROM windows SEMI JOIN repeated USING (h)
+), numbered AS (
+  SELECT r, i, sum(CAST(opens AS INT)) OVER (PARTITION BY r ORDER BY i) AS k FROM starts
+), runs AS (
+  SELECT r, k, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY r, k
+), gaps AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS z FROM runs
+), cut AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS z, string_agg(hex(body[z + 1:a]), '' ORDER BY a) AS kept FROM gaps JOIN docs USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(octet_length(body) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN z IS NULL THEN sha256(body) ELSE sha256(unhex(kept || hex(body[z + 1:octet_length(body)]))) END AS kept_sha256
+FROM docs LEFT JOIN cut USING (r)
+"""
