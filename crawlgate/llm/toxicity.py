@@ -191,14 +191,7 @@ class Model:
 
     def strongest(self, kernels: np.ndarray, codes: np.ndarray, last: np.ndarray) -> float | np.ndarray:
         """Margins of sentences: words are rows of ``kernels`` by number, and ``last`` says where a sentence ends."""
-        number = np.cumsum(last) - last
-        out = np.zeros((int(number[-1]) + 1, len(self.landmarks)), np.float32)
-        for begin in range(0, len(codes), WORDS):
-            own = number[begin : begin + WORDS]
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            at = own[first]
-            out[at] = np.maximum(out[at], np.maximum.reduceat(kernels[codes[begin : begin + WORDS]], first))
-        return out @ self.weights + self.bias
+        return _largest(kernels, codes, np.cumsum(last) - last) @ self.weights + self.bias
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Scores of whole texts, in 0 to 1."""
@@ -249,6 +242,17 @@ class Model:
         return score
 
 
+def _largest(kernels: np.ndarray, codes: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """For each sentence the largest of its words' kernels; ``WORDS`` words at a time, so that no long text is held as kernels."""
+    out = np.zeros((int(sentence[-1]) + 1, kernels.shape[1]), np.float32)
+    for begin in range(0, len(codes), WORDS):
+        own = sentence[begin : begin + WORDS]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        at = own[first]
+        out[at] = np.maximum(out[at], np.maximum.reduceat(kernels[codes[begin : begin + WORDS]], first))
+    return out
+
+
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
@@ -287,11 +291,13 @@ def _sentences(words: list[str]) -> list[list[str]]:
     return [x for x in out if x]
 
 
-def _distinct(docs: list[list[list[str]]]) -> list[list[list[str]]]:
-    """Documents, less those of which half the sentences or more came before: copies."""
-    seen, out = set(), []
-    for sentences in docs:
-        own = [tuple(s) for s in sentences]
+def _distinct(texts: list[str]) -> list[list[list[str]]]:
+    """Sentences of texts, less those texts of which half the sentences or more came before: copies."""
+    seen, out, same = set(), [], {}
+    for text in texts:
+        # Equal pieces are one object.
+        sentences = [[same.setdefault(p, p) for p in s] for s in _sentences(text.split())]
+        own = [hash(tuple(s)) for s in sentences]
         if own and 2 * sum(s in seen for s in own) < len(own):
             out.append(sentences)
         seen.update(own)
@@ -305,10 +311,15 @@ def _landmarks(toxic: list[list[list[str]]], clean: list[list[list[str]]]) -> tu
     for the next, so that one family of words does not take all places.
     """
 
+    known: dict[str, tuple[str, ...]] = {}
+    same: dict[str, str] = {}
+
     def forms(sentences: list[list[str]]) -> Counter[str]:
         out: Counter[str] = Counter()
         for p, times in Counter(p for s in sentences for p in s if len(p) >= ORDER).items():
-            for form in {p[:k] for k in (*STEMS, len(p)) if k <= min(len(p), WINDOW)}:
+            if p not in known:
+                known[p] = tuple(same.setdefault(f, f) for f in sorted({p[:k] for k in (*STEMS, len(p)) if k <= min(len(p), WINDOW)}))
+            for form in known[p]:
                 out[form] += times
         return out
 
@@ -366,10 +377,9 @@ def _garbled(p: str) -> list[str]:
 def _bags(kernels: np.ndarray, at: dict[str, int], docs: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
     """Kernels of all sentences of documents, and the document of each."""
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    flat = [s for d in docs for s in d]
-    codes = np.array([at[p] for s in flat for p in s], np.int64)
-    lengths = np.array([len(s) for s in flat], np.int64)
-    return np.maximum.reduceat(kernels[codes], np.cumsum(lengths) - lengths), owner
+    lengths = np.array([len(s) for d in docs for s in d], np.int64)
+    codes = np.fromiter((at[p] for d in docs for s in d for p in s), np.int64, int(lengths.sum()))
+    return _largest(kernels, codes, np.repeat(np.arange(len(lengths)), lengths)), owner
 
 
 def _first_machine(marks: list[str], found: list[str], white: np.ndarray, kernels: np.ndarray, garbled: np.ndarray, at: dict[str, int], bags: list, rest: list) -> Model:
@@ -404,7 +414,7 @@ def _first_machine(marks: list[str], found: list[str], white: np.ndarray, kernel
 
 def learn(toxic: list[str], clean: list[str]) -> Model:
     """A model of labelled texts."""
-    bags, rest = ([d for d in _distinct([_sentences(t.split()) for t in texts]) if d] for texts in (toxic, clean))
+    bags, rest = _distinct(toxic), _distinct(clean)
     found, ordinary = _landmarks(bags, rest)
     marks = found + ordinary
     if not found or not rest:
