@@ -41,7 +41,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgate.llm.common import bucket_of, table
+from crawlgate.llm.common import bucket_of, small_batches, table
 
 ORDER = 3
 DECAY = 0.7
@@ -49,6 +49,8 @@ TOXIC = 2000
 CLEAN = 4000
 #: Landmarks that toxic documents favour, and ordinary ones beside them.
 FOUND, ORDINARY = 30, 10
+#: Clean documents that tell which words are ordinary.
+USUAL = 400
 #: Lengths of the word beginnings that may be landmarks, beside whole words.
 STEMS = (4, 5, 6, 8)
 #: A longer piece is read in windows of so many characters, half of them in common.
@@ -66,7 +68,12 @@ _END = regex.compile(r"[.!?]\p{P}*$")
 
 def piece(word: str) -> str:
     """A word in lower case without the signs around it."""
-    return _EDGE.sub("", word.lower())
+    return word.lower() if word[0].isalnum() and word[-1].isalnum() else _EDGE.sub("", word.lower())
+
+
+def _ends(word: str) -> bool:
+    """Whether a sentence ends with the word."""
+    return not word[-1].isalnum() and _END.search(word) is not None
 
 
 def pieces(words: list[str]) -> list[str]:
@@ -210,7 +217,7 @@ class Model:
             kernels[none] = 0
             begin = np.cumsum(lengths) - lengths
             full = lengths > 0
-            last = np.array([bool(_END.search(w)) for w in kinds])[codes]
+            last = np.array([_ends(w) for w in kinds])[codes]
             last[(begin + lengths - 1)[full]] = True
             margin = self.strongest(kernels, codes, last)
             # The first sentence of each text that has any.
@@ -285,7 +292,7 @@ def _sentences(words: list[str]) -> list[list[str]]:
     """Sentences of a text's words, as their pieces; those without any are left out."""
     out, begin = [], 0
     for i, w in enumerate(words):
-        if i + 1 == len(words) or _END.search(w):
+        if i + 1 == len(words) or _ends(w):
             out.append(pieces(words[begin : i + 1]))
             begin = i + 1
     return [x for x in out if x]
@@ -311,23 +318,22 @@ def _landmarks(toxic: list[list[list[str]]], clean: list[list[list[str]]]) -> tu
     for the next, so that one family of words does not take all places.
     """
 
-    known: dict[str, tuple[str, ...]] = {}
-    same: dict[str, str] = {}
-
-    def forms(sentences: list[list[str]]) -> Counter[str]:
+    def forms(sentences: list[list[str]], wanted: set[str] | None = None) -> Counter[str]:
         out: Counter[str] = Counter()
         for p, times in Counter(p for s in sentences for p in s if len(p) >= ORDER).items():
-            if p not in known:
-                known[p] = tuple(same.setdefault(f, f) for f in sorted({p[:k] for k in (*STEMS, len(p)) if k <= min(len(p), WINDOW)}))
-            for form in known[p]:
-                out[form] += times
+            for k in {*STEMS, len(p)}:
+                if k <= min(len(p), WINDOW) and (wanted is None or p[:k] in wanted):
+                    out[p[:k]] += times
         return out
 
-    a, b, shown = [forms(d) for d in toxic], Counter(), Counter()
-    for d in clean:
-        own = forms(d)
-        b.update(own)
-        shown.update(own.keys())
+    # Only forms of three toxic documents are counted in clean ones, and only some clean ones tell which are ordinary.
+    shared = Counter(p for d in toxic for p in forms(d))
+    wanted = {p for p, k in shared.items() if k >= 3}
+    a, b, shown = [forms(d, wanted) for d in toxic], Counter(), Counter()
+    for i, d in enumerate(clean):
+        b.update(forms(d, wanted))
+        if i < USUAL:
+            shown.update(forms(d).keys())
     n = len(a) or 1
     read, read_clean = (sum(len(s) for d in docs for s in d) + 1 for docs in (toxic, clean))
     where: dict[str, list[int]] = defaultdict(list)
@@ -378,8 +384,8 @@ def _bags(kernels: np.ndarray, at: dict[str, int], docs: list[list[list[str]]])
     """Kernels of all sentences of documents, and the document of each."""
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     lengths = np.array([len(s) for d in docs for s in d], np.int64)
-    codes = np.fromiter((at[p] for d in docs for s in d for p in s), np.int64, int(lengths.sum()))
-    return _largest(kernels, codes, np.repeat(np.arange(len(lengths)), lengths)), owner
+    codes = np.fromiter((at[p] for d in docs for s in d for p in s), np.int32, int(lengths.sum()))
+    return _largest(kernels, codes, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)), owner
 
 
 def _first_machine(marks: list[str], found: list[str], white: np.ndarray, kernels: np.ndarray, garbled: np.ndarray, at: dict[str, int], bags: list, rest: list) -> Model:
@@ -402,7 +408,7 @@ def _first_machine(marks: list[str], found: list[str], white: np.ndarray, kernel
         cost = np.where(y > 0, 1.0, 5.0 * max(1.0, (y > 0).sum() / len(negative)))
         cost[len(y) - len(negative)] = 1000.0
         w = _machine(x, y, cost)
-        weights, bias = white @ w[:-1], float(w[-1])
+        weights, bias = (white @ w[:-1]).astype(np.float32), float(w[-1])
         strength, hardest = toxic @ weights + bias, clean @ weights + bias
     model = Model(marks, weights, bias)
     margin = np.full(len(bags) + len(rest), -np.inf)
@@ -415,6 +421,7 @@ def _first_machine(marks: list[str], found: list[str], white: np.ndarray, kernel
 def learn(toxic: list[str], clean: list[str]) -> Model:
     """A model of labelled texts."""
     bags, rest = _distinct(toxic), _distinct(clean)
+    del toxic, clean
     found, ordinary = _landmarks(bags, rest)
     marks = found + ordinary
     if not found or not rest:
@@ -427,7 +434,9 @@ def learn(toxic: list[str], clean: list[str]) -> Model:
     words = np.array([sum(map(len, d)) for d in (*bags, *rest)])
     every = sorted({p for d in (*bags, *rest) for s in d for p in s})
     at = {p: i for i, p in enumerate(every)}
-    kernels = np.vstack([bare.features([START + p[:WINDOW] for p in every[k : k + 20_000]]) for k in range(0, len(every), 20_000)])
+    kernels = np.empty((len(every), len(marks)), np.float32)
+    for k in range(0, len(every), 20_000):
+        kernels[k : k + 20_000] = bare.features([START + p[:WINDOW] for p in every[k : k + 20_000]])
     # Garbled forms of the whole words among the landmarks are positive too.
     garbled = bare.features([START + g for p in found if p in at for g in _garbled(p)])
     model = _first_machine(marks, found, white, kernels, garbled, at, bags, rest)
@@ -446,7 +455,7 @@ def learn(toxic: list[str], clean: list[str]) -> Model:
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     cost = np.where(y > 0, 5.0 * max(1.0, len(negative) / len(positive)), 5.0)
     w = _machine(kernels[np.concatenate([positive, negative])] @ white, y, cost)
-    weights, bias = white @ w[:-1], float(w[-1])
+    weights, bias = (white @ w[:-1]).astype(np.float32), float(w[-1])
     hit = kernels @ weights + bias > 0
     hits = np.array([sum(hit[at[p]] for p in d) for d in (*bags, *rest)])
     rates = [float((hits[x].sum() + 0.5) / (words[x].sum() + 1)) for x in (label, ~label)]
@@ -496,6 +505,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str
 
 def scorer(spark: SparkSession, model: Model):
     """A column function: text -> score."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast((model.landmarks, model.weights, model.bias, model.slope, model.offset, model.rate))
 
     @F.pandas_udf("double")
