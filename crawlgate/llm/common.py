@@ -14,8 +14,21 @@ from crawlgate.sources.shared import shared_dir
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of rows that are sent to Python together.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to ``BATCH_BYTES`` at most, by which texts of any length take little memory at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(name).lower().rstrip("b")
+    if not size.isdigit() or not 0 < int(size) <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of ``sf_dir``, read by Spark so that any file system works."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlgate.llm.common import bucket_of, table, written
+from crawlgate.llm.common import bucket_of, small_batches, table, written
 
 DICT_BYTES = 112_000
 ROWS = 400
@@ -111,6 +111,7 @@ class Model:
 
 def predictor(spark: SparkSession, dicts: dict[str, bytes]):
     """A column function: text -> struct of ``lang``, ``score``, ``rejected``."""
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(dicts)  # at most MOST_BYTES
 
     @F.pandas_udf("lang string, score double, rejected boolean")

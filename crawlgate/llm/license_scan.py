@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgate.llm.common import table
+from crawlgate.llm.common import small_batches, table
 from crawlgate.llm.license_templates import TEMPLATES
 from crawlgate.llm.shingles import _mixed, word_hashes
 
@@ -217,6 +217,7 @@ def scan_texts(texts: list[str | None], index: Index) -> list[list[tuple[Match,
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """A row for each report: id, licence, template, matched words and coverage, characters from and to."""
+    small_batches(docs.sparkSession)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(templates)

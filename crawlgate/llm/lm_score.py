@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgate.llm.common import bucket_of, table, written
+from crawlgate.llm.common import bucket_of, small_batches, table, written
 from crawlgate.llm.elias_fano import Trie, probability
 from crawlgate.llm.shingles import _mixed, word_hashes, words_of
 
@@ -55,7 +55,7 @@ END, BEGIN = np.uint64(0), np.uint64(1)
 ALPHA = 0.1
 HOT = 0.001
 PARTS = 64
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_800_000
 SHARD_TOKENS = 1_500_000
 #: Texts hashed together.
 ROWS = 500
@@ -307,6 +307,7 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores of every row by a model of the rows where ``train`` holds."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(f"`{doc_id}`").cast("string").alias("doc_id"), F.col(f"`{text}`").alias("text"), train.alias("train"))
     blocks = written(_blocks(rows), "blocks")
     # Words over HOT of all tokens: fewer than 1 / HOT of them.

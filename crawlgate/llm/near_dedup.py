@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgate.llm import fixed_filter
-from crawlgate.llm.common import placed, prefixed, table, written
+from crawlgate.llm.common import placed, prefixed, small_batches, table, written
 from crawlgate.llm.components import components
 from crawlgate.llm.shingles import _mixed, digest_of, min_max, sets_of
 
@@ -186,6 +186,7 @@ def classes(texts: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     Rows must have the same ``node`` when they are read again: see ``placed``.
     """
+    small_batches(texts.sparkSession)
     signed = written(_signed(texts, width), "signed")
     full = signed.filter("n_shingles > 0")
     firsts = full.groupBy("digest").agg(F.min("node").alias("first"))

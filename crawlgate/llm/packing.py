@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlgate.llm.bpe_automaton import WORDS, automaton, byte_of_char, split_pattern, tokenizer_text
-from crawlgate.llm.common import table, written
+from crawlgate.llm.common import small_batches, table, written
 
 CAPACITY = 1024
 END = 2
@@ -346,6 +346,7 @@ def coder(spec: str, pattern: str) -> Callable[[list], list[bytes]]:
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Each document's pieces, with the partition they were made in and their place among its pieces of that length."""
     spark = docs.sparkSession
+    small_batches(spark)
     spec = spark.sparkContext.broadcast((tokenizer_text(path), split_pattern()))
     closing = end.to_bytes(4, "little")
 

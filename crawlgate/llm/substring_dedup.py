@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgate.llm import fixed_filter
-from crawlgate.llm.common import placed, prefixed, table, written
+from crawlgate.llm.common import placed, prefixed, small_batches, table, written
 from crawlgate.llm.shingles import _mixed
 from crawlgate.llm.suffix_sort import deep_shallow
 
@@ -127,18 +127,22 @@ def parts(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+#: Rows of a batch that are taken out of Arrow together.
+ROWS = 256
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Row numbers and texts, a million bytes or two at a time."""
     for batch in batches:
-        nodes, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        at, size, bodies = 0, 0, []
-        for i, text in enumerate(texts):
-            body = text.encode("utf-8") if text else b""
-            if bodies and size + len(body) > BLOCK_BYTES:
-                yield nodes[at:i], bodies
-                at, size, bodies = i, 0, []
-            bodies.append(body)
-            size += len(body)
+        nodes, at, size, bodies = batch.column(0).to_numpy(), 0, 0, []
+        for begin in range(0, batch.num_rows, ROWS):
+            for i, text in enumerate(batch.column(1).slice(begin, ROWS).to_pylist(), begin):
+                body = text.encode("utf-8") if text else b""
+                if bodies and size + len(body) > BLOCK_BYTES:
+                    yield nodes[at:i], bodies
+                    at, size, bodies = i, 0, []
+                bodies.append(body)
+                size += len(body)
         if bodies:
             yield nodes[at:], bodies
 
@@ -328,6 +332,7 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     Rows must have the same ``node`` when they are read again: see ``placed``.
     """
     spark = texts.sparkSession
+    small_batches(spark)
     if length % 8 or length < 2 * GRAM:
         raise ValueError(f"length must be a multiple of 8, of {2 * GRAM} or more")
     twice = _keys(texts, length).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
@@ -374,19 +379,30 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept, removed, count = [], [], []
-        for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            body, at, out = (text or "").encode("utf-8"), 0, []
-            ranges = merged([(r["a"], r["b"]) for r in ranges or ()])
-            for a, b in ranges:
-                out.append(body[at:a])
-                at = b
-            out.append(body[at:])
-            kept.append(b"".join(out))
-            removed.append(sum(b - a for a, b in ranges))
-            count.append(len(ranges))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=["node", "kept", "n_removed", "n_spans"])
+    for whole in batches:
+        for begin in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(begin, ROWS)
+            kept, removed, count = [], [], []
+            for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                body, at, out = (text or "").encode("utf-8"), 0, []
+                ranges = merged([(r["a"], r["b"]) for r in ranges or ()])
+                for a, b in ranges:
+                    out.append(body[at:a])
+                    at = b
+                out.append(body[at:])
+                kept.append(b"".join(out))
+                removed.append(sum(b - a for a, b in ranges))
+                count.append(len(ranges))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=["node", "kept", "n_removed", "n_spans"])
+
+
+def _readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is left as text, without the bytes of characters that were cut."""
+    for whole in batches:
+        for begin in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(begin, ROWS)
+            texts = [x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["node", "kept"])
 
 
 def _touched(texts: DataFrame, length: int) -> tuple[DataFrame, np.ndarray]:
@@ -419,16 +435,12 @@ def dedupe(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFra
     mark, kept, may = p + "node", p + "kept", p + "may"
     rows = placed(docs, mark)
     changed, bits = _touched(rows.select(F.col(mark).alias("node"), F.col(f"`{text}`").alias("text")), length)
-    left = changed.select(F.col("node").alias(mark), F.col("kept").alias(kept))
+    left = changed.select("node", "kept").mapInArrow(_readable, "node long, kept string").select(F.col("node").alias(mark), F.col("kept").alias(kept))
     # Rows that lose nothing are not moved.
     rows = rows.withColumn(may, fixed_filter.holds(docs.sparkSession, bits)(F.xxhash64(mark)))
     same, rows = rows.filter(~F.col(may)), rows.filter(F.col(may)).join(left, mark, "left")
 
-    @F.pandas_udf("string")
-    def readable(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
-
-    body = F.when(F.col(kept).isNotNull(), readable(F.col(kept))).otherwise(F.col(f"`{text}`"))
+    body = F.coalesce(F.col(kept), F.col(f"`{text}`"))
     rows = rows.withColumn(text, body)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
