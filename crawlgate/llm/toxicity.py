@@ -58,8 +58,10 @@ WINDOW = 24
 #: Put before each piece for the kernel: how a word begins tells more than what it has inside.
 START = "\x02"
 #: Pieces whose kernels a Python process keeps, and words handled together.
-MOST_PIECES = 500_000
+MOST_PIECES = 1_000_000
 WORDS = 100_000
+#: Pieces whose kernels are made together, so that the arrays stay in the processor's cache.
+TOGETHER = 1024
 
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 #: A word that ends a sentence.
@@ -111,13 +113,18 @@ def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     for j in range(s):
         now = [[none] for _ in range(ORDER - 1)]
         for k in range(t):
-            match = (x[:, j, None] == y[None, :, k]) * lam2
+            match = np.multiply(x[:, j, None] == y[None, :, k], lam2, dtype=np.float32)
             for i in range(ORDER):
                 ends = match if not i else match * before[i - 1][k]
                 if i == ORDER - 1:
                     total += ends
                 else:
-                    now[i].append(ends + lam * (before[i][k + 1] + now[i][k] - lam * before[i][k]))
+                    sums = before[i][k] * -lam
+                    sums += before[i][k + 1]
+                    sums += now[i][k]
+                    sums *= lam
+                    sums += ends
+                    now[i].append(sums)
         before = now
     return total
 
@@ -168,8 +175,8 @@ class Model:
             if len(s) > ORDER:
                 by_length[len(s)].append(i)
         for length, at in by_length.items():
-            for begin in range(0, len(at), 1024):
-                part = at[begin : begin + 1024]
+            for begin in range(0, len(at), TOGETHER):
+                part = at[begin : begin + TOGETHER]
                 x = _codes([strings[i] for i in part], length)
                 norm = np.sqrt(_selves(x)[:, None] * self.own[None, :])
                 out[part] = kernel(x, self.y) / np.maximum(norm, 1e-12)
@@ -179,7 +186,7 @@ class Model:
         """A row for each piece: its kernels with the landmarks, of a long one the largest of its windows."""
         new = list(dict.fromkeys(p for p in found if p not in self.known))
         if len(self.known) + len(new) > MOST_PIECES:
-            self.known, self.kernels = {}, self.kernels[:0]
+            self.known = {}
             self.hits.clear()
             new = list(dict.fromkeys(found))
         windows, owner = [], []
@@ -192,8 +199,13 @@ class Model:
             best = np.maximum.reduceat(raw, np.searchsorted(owner, np.arange(len(new))))
             if self.rate:
                 self.hits.update(new[owner[i]] for i in np.flatnonzero(raw @ self.rate.weights + self.rate.bias > 0))
-            self.known.update(zip(new, range(len(self.kernels), len(self.kernels) + len(new))))
-            self.kernels = np.vstack([self.kernels, best])
+            begin, end = len(self.known), len(self.known) + len(new)
+            if end > len(self.kernels):
+                room = np.zeros((max(end, 2 * len(self.kernels)), self.kernels.shape[1]), np.float32)
+                room[:begin] = self.kernels[:begin]
+                self.kernels = room
+            self.kernels[begin:end] = best
+            self.known.update(zip(new, range(begin, end)))
         return self.kernels[[self.known[p] for p in found]]
 
     def strongest(self, kernels: np.ndarray, codes: np.ndarray, last: np.ndarray) -> float | np.ndarray:
