@@ -15,7 +15,7 @@ from crawlgate.operators.groups import agent_key, file_key, grouped
 from crawlgate.operators.lexer import debug_lines, directives, lines
 from crawlgate.plans.policy import compile_policies, debug_policies, parsed_files
 from crawlgate.plans.verdicts import check, score
-from crawlgate.sources.robots_files import from_files, from_texts
+from crawlgate.sources.robots_files import FOLDERS, from_files, from_texts, remove_files, to_files
 from crawlgate.sources.shared import shared_dir
 
 
@@ -293,16 +293,35 @@ def policy_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debug_policies(_customer_policies(spark, sf_dir))
 
 
+#: Files that ``file_source`` has in the shared folder at a time, which bounds its disk and the list of them in the driver.
+ROUND_FILES = 100_000
+
+
 def file_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files as a source: every customer's file written to the shared folder, found by its name and read as bytes."""
+    """Files as a source: every customer's file written to the shared folder, found by its name and read as bytes.
+
+    Files are written, read and deleted in rounds of about ``ROUND_FILES``.
+    """
     path = f"{shared_dir(spark)}/crawlgate-files-{uuid4().hex}"
-    texts = _customer_texts(spark, sf_dir).select("robots_id", F.regexp_replace("txt", "<FF>|\u0000", "").alias("value"))
-    texts.repartition("robots_id").write.partitionBy("robots_id").option("lineSep", "\n").text(path)
-    found = from_files(spark, path, "*.txt")
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    rows = found.select(F.regexp_extract("robots_id", "robots_id=([0-9]+)", 1).cast("long").alias("robots_id"), "content")
-    return rows.select("robots_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    # An estimate is enough: it only says how many rounds there are.
+    customers = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.approx_count_distinct("o_custkey")).first()[0]
+    rounds = max(1, -(-customers // ROUND_FILES))
+    # Another hash than that of the folders, so that each round fills all of them.
+    number = F.pmod(F.xxhash64("robots_id"), F.lit(rounds)).cast("int")
+    texts = _customer_texts(spark, sf_dir).select("robots_id", F.regexp_replace("txt", "<FF>|\u0000", "").alias("text"), number.alias("round"))
+    texts.write.partitionBy("round").parquet(f"{path}/texts")
+    texts = spark.read.schema(texts.schema).parquet(f"{path}/texts")
+    for k in range(rounds):
+        to_files(texts.filter((F.col("round") == k) & F.col("text").isNotNull()), f"{path}/{k}")
+        found = from_files(spark, f"{path}/{k}", "*.txt", tasks=max(FOLDERS, 4 * spark.sparkContext.defaultParallelism))
+        rows = found.select(F.regexp_extract("robots_id", "robots_id=(-?[0-9]+)", 1).cast("long").alias("robots_id"), "content")
+        rows.select("robots_id", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256")).write.mode("append").parquet(f"{path}/found")
+        remove_files(spark, f"{path}/{k}")
+    # A customer without a text has no file.
+    none = texts.filter("text IS NULL").select("robots_id", F.lit(None).cast("long").alias("n_bytes"), F.lit(None).cast("string").alias("sha256"))
+    return spark.read.schema(none.schema).parquet(f"{path}/found").unionByName(none)
 
 
 def loose_match(spark: SparkSession, sf_dir: str) -> DataFrame:

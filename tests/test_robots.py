@@ -2,10 +2,15 @@ from __future__ import annotations
 
 import math
 import random
+import re
+from pathlib import Path
+from urllib.parse import urlsplit
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from crawlgate import queries
 from crawlgate.corpus import URLS
 from crawlgate.functions.latin1 import from_text, to_text, trim
 from crawlgate.functions.urls import located_target, origin, prepare_url, robots_location
@@ -13,7 +18,8 @@ from crawlgate.operators import patterns
 from crawlgate.operators.lexer import debug_lines, directives, lines
 from crawlgate.plans.policy import compile_policies, debug_policies
 from crawlgate.plans.verdicts import check, http_policy, score
-from crawlgate.sources.robots_files import from_files, from_texts, write_debug
+from crawlgate.sources.robots_files import FOLDERS, from_files, from_texts, remove_files, to_files, write_debug
+from crawlgate.sources.shared import shared_dir
 from tests import model
 
 
@@ -262,6 +268,41 @@ def test_files_as_a_source_and_sink(spark, tmp_path):
     assert '"pattern":"/ok"' in shown
 
 
+def test_files_of_many_customers(spark, tmp_path, monkeypatch):
+    """Customers' files are in the shared folder a round at a time, in few folders and without checksums, and read in few tasks; none stay."""
+    orders = [(k, -20 if k % 50 == 0 else -3 if k % 50 == 1 else None if k % 50 == 2 else k % 301) for k in range(1, 2000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    found = []
+
+    def seen(*args, **more):
+        files = from_files(*args, **more)
+        folder = Path(urlsplit(args[1]).path)
+        found.append((files.count(), len(list(folder.rglob("*"))), len(list(folder.iterdir())), files.rdd.getNumPartitions()))
+        return files
+
+    monkeypatch.setattr(queries, "ROUND_FILES", 100)
+    monkeypatch.setattr(queries, "from_files", seen)
+    before = set(Path(shared_dir(spark)).rglob("*"))
+    ours = sorted((tuple(r) for r in queries.file_source(spark, str(tmp_path)).select("robots_id", "n_bytes", "sha256").collect()), key=repr)
+    assert ours == sorted(db.sql(queries.ORACLE_SQL["file_source"]).fetchall(), key=repr)
+    assert {-20, -3, None} <= {r[0] for r in ours} and sum(r[1] is not None for r in ours) == sum(n for n, *_ in found)
+    assert len(found) in (3, 4) and max(n for n, *_ in found) < 150
+    assert all(entries == n + folders and folders <= FOLDERS and tasks <= FOLDERS for n, entries, folders, tasks in found)
+    assert not [p for p in set(Path(shared_dir(spark)).rglob("*")) - before if "robots_id" in p.name]
+
+
+def test_files_in_a_store_that_only_spark_reads(spark, tmp_path):
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.crawlgate.link./in", f"file://{tmp_path}")
+    texts = {-4: "Allow: /\u00fc\r", 5: "", 6: "a\nb"}
+    for place in ("viewfs://crawlgate/in/a", str(tmp_path / "b c%20d")):
+        to_files(spark.createDataFrame(list(texts.items()), "robots_id long, text string"), place)
+        assert {int(re.search("robots_id=(-?[0-9]+)", k)[1]): bytes(v) for k, v in from_files(spark, place, "*.txt", tasks=2).collect()} == {k: v.encode() + b"\n" for k, v in texts.items()}
+        remove_files(spark, place)
+    assert not list(tmp_path.iterdir())
+
+
 def test_size_limit_is_optional(spark):
     files = from_texts(spark, {"f": b"Disallow: /a\nDisallow: /b"})
     assert lines(files).count() == 2 and lines(files, max_bytes=12).count() == 1
