@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
+def release() -> None:
+    """Gives back to the system what is free in this process, but kept by its allocators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
+def lean(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` for ``mapInArrow``, by a worker that gives memory back after it.
+
+    Spark keeps idle workers, as many as a task had operators, for the tasks to
+    come; without this each would stay as large as it ever was.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of ``sf_dir``, read by Spark so that any file system works."""
     small_batches(spark)
@@ -81,7 +109,8 @@ def placed(docs: DataFrame, name: str) -> DataFrame:
         if rows is not None:
             names = sorted(r[0] for r in rows.select(path).distinct().collect())  # a row a file
             if sum(map(len, names)) <= MOST_NAMES and len(names) < 1 << 23:
-                files = docs.sparkSession.createDataFrame(list(enumerate(names)), f"{p}file long, {path} string")
+                # From Arrow: rows of Python objects would be read by workers of another kind, which stay beside the others.
+                files = docs.sparkSession.createDataFrame(pa.table({f"{p}file": pa.array(range(len(names)), pa.int64()), path: pa.array(names, pa.string())}))
                 numbered = rows.join(F.broadcast(files), path).withColumn(name, F.shiftleft(p + "file", 40) + F.col(row))
                 return numbered.drop(path, row, p + "file")
     return written(docs.withColumn(name, F.monotonically_increasing_id()), "rows")

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlgate.llm.common import bucket_of, small_batches, table, written
+from crawlgate.llm.common import bucket_of, release, small_batches, table, written
 
 DICT_BYTES = 112_000
 ROWS = 400
@@ -119,6 +119,8 @@ def predictor(spark: SparkSession, dicts: dict[str, bytes]):
         model = Model(sent.value)
         for batch in batches:
             yield pd.DataFrame([model.predict(x) for x in batch], columns=["lang", "score", "rejected"])
+        del model
+        release()
 
     return predict
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgate.llm import fixed_filter
-from crawlgate.llm.common import placed, prefixed, small_batches, table, written
+from crawlgate.llm.common import lean, placed, prefixed, release, small_batches, table, written
 from crawlgate.llm.components import components
 from crawlgate.llm.shingles import _mixed, digest_of, min_max, sets_of
 
@@ -45,11 +45,14 @@ PERMUTATIONS = BAND * BANDS
 #: Members of a block; larger buckets are compared block by block.
 BLOCK = 1024
 #: Texts hashed together.
-ROWS = 2000
+ROWS = 500
 #: Bits of the filter that names the documents whose sets are needed again: 2 MB on every executor, at any size.
 FILTER_BITS = 1 << 24
 #: Shingles compared at once.
-COLUMNS = 8192
+COLUMNS = 2048
+#: Rows whose links are told at once, and bytes of sets after which a worker gives memory back.
+SLAB = 128
+LARGE = 2_000_000
 
 
 def _signed(texts: DataFrame, width: int) -> DataFrame:
@@ -71,7 +74,7 @@ def _signed(texts: DataFrame, width: int) -> DataFrame:
                 digests = pa.array([digest_of(shingles[starts[i] : starts[i + 1]]) for i in range(part.num_rows)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(starts)), digests, bands], names=["node", "n_shingles", "digest", "bands"])
 
-    return texts.mapInArrow(signed, "node long, n_shingles long, digest binary, bands array<long>")
+    return texts.mapInArrow(lean(signed), "node long, n_shingles long, digest binary, bands array<long>")
 
 
 def _sets(texts: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
@@ -88,7 +91,7 @@ def _sets(texts: DataFrame, width: int, nodes: DataFrame) -> DataFrame:
                 sets = [shingles[starts[i] : starts[i + 1]].tobytes() for i in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return texts.select("node", "text", h).mapInArrow(made, "node long, shingles binary")
+    return texts.select("node", "text", h).mapInArrow(lean(made), "node long, shingles binary")
 
 
 def alike(inter: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | bool:
@@ -110,7 +113,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(lean(confirm), "a long, b long")
 
 
 def _forest(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
@@ -140,13 +143,17 @@ def _forest(group: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
         x = np.zeros((len(sets), COLUMNS), np.float32)
         x[owner[i:j], codes[i:j] - begin] = 1
         inter += x @ x.T
-    found = np.triu(alike(inter.astype(np.int64), sizes[:, None], sizes[None, :], percent), 1)
+        del x
     roots, out = group["root"].to_numpy(np.int64), []
-    for i, j in zip(*np.nonzero(found)):
-        p, q = top(int(roots[i])), top(int(roots[j]))
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((int(nodes[i]), int(nodes[j])))
+    for begin in range(0, len(sets), SLAB):
+        part = slice(begin, begin + SLAB)
+        found = np.triu(alike(inter[part].astype(np.int64), sizes[part, None], sizes[None, :], percent), begin + 1)
+        for i, j in zip(*np.nonzero(found)):
+            i += begin
+            p, q = top(int(roots[i])), top(int(roots[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((int(nodes[i]), int(nodes[j])))
     return out
 
 
@@ -176,7 +183,10 @@ def _rest(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
     dealt = members.select("key", "node", "root", F.inline(F.when(F.col("minor"), F.concat(among, across)).otherwise(met))).join(sets, "node")
 
     def compared(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_forest(group, percent), columns=["a", "b"]).astype("int64")
+        found = pd.DataFrame(_forest(group, percent), columns=["a", "b"]).astype("int64")
+        if group["shingles"].str.len().sum() > LARGE:
+            release()
+        return found
 
     return dealt.groupBy("key", "i", "j").applyInPandas(compared, "a long, b long").distinct()
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlgate.llm.bpe_automaton import WORDS, automaton, byte_of_char, split_pattern, tokenizer_text
-from crawlgate.llm.common import small_batches, table, written
+from crawlgate.llm.common import lean, small_batches, table, written
 
 CAPACITY = 1024
 END = 2
@@ -366,7 +366,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"])
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(made, PIECES.format(id=rows.dtypes[0][1]))
+    return rows.mapInArrow(lean(made), PIECES.format(id=rows.dtypes[0][1]))
 
 
 def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -407,7 +407,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     kind = dict(cut.dtypes)["doc_id"]
     ranked = cut.join(sums.drop("n"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
-    return ranked.mapInArrow(placed, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(placed), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

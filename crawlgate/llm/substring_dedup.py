@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgate.llm import fixed_filter
-from crawlgate.llm.common import placed, prefixed, small_batches, table, written
+from crawlgate.llm.common import lean, placed, prefixed, small_batches, table, written
 from crawlgate.llm.shingles import _mixed
 from crawlgate.llm.suffix_sort import deep_shallow
 
@@ -49,12 +49,15 @@ LENGTH = 200
 GRAM = 64
 #: Bits of the filters: 8 MB on every executor, at any size.
 FILTER_BITS = 1 << 26
-#: Bytes of texts handled together, and windows sorted together.
+#: Bytes of texts handled together; windows sorted together, and bytes of their contexts.
 BLOCK_BYTES = 1_500_000
 SORTED = 400_000
+SORTED_BYTES = 4_000_000
 #: Contexts of one key that are sorted together, and how many distances from the anchor a longer key is for.
 BLOCK = 4096
 WIDTHS = (16, 1)
+#: Contexts that are dealt out further together.
+PARTED = 1024
 #: Large keys that may be broadcast; beyond it they are joined by a shuffle.
 MOST_SPLIT = 100_000
 
@@ -159,7 +162,7 @@ def _keys(texts: DataFrame, length: int) -> DataFrame:
             keys, counts = np.unique(parts(*_joined(bodies), length)[2].view(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.minimum(counts, 2).astype(np.int8))], names=["key", "n"])
 
-    return texts.mapInArrow(made, "key long, n byte")
+    return texts.mapInArrow(lean(made), "key long, n byte")
 
 
 _CONTEXTS = "key long, context_id binary, n int, context binary, anchor int, node long, start int"
@@ -201,7 +204,7 @@ def _contexts(texts: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
             )
             yield from table.combine_chunks().to_batches()
 
-    return texts.mapInArrow(made, _CONTEXTS)
+    return texts.mapInArrow(lean(made), _CONTEXTS)
 
 
 _PARTS = "key long, context_id binary, n int, context binary, anchor int, whole binary, shift int"
@@ -211,7 +214,7 @@ def _parted(contexts: DataFrame, width: int, length: int) -> DataFrame:
     """Contexts of longer keys: those of ``width`` distances from the anchor each, and a row for each that says where it is in which whole one."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, PARTED) for b in batches for i in range(0, b.num_rows, PARTED)):
             seen: dict[bytes, list] = {}
             where: list[tuple[bytes, bytes, int]] = []
             for whole, n, context, anchor in zip(*(c.to_pylist() for c in batch.columns)):
@@ -246,7 +249,7 @@ def _parted(contexts: DataFrame, width: int, length: int) -> DataFrame:
                 names=["key", "context_id", "n", "context", "anchor", "whole", "shift"],
             )
 
-    return contexts.select("context_id", "n", "context", "anchor").mapInArrow(made, _PARTS)
+    return contexts.select("context_id", "n", "context", "anchor").mapInArrow(lean(made), _PARTS)
 
 
 def repeats(groups: list[list[tuple[bytes, int, bytes]]], length: int) -> dict[str, list]:
@@ -285,29 +288,30 @@ def _sorted(length: int):
         """Rows come in the order of ``key``; the contexts of a key are sorted together."""
         waiting: list[list[tuple[bytes, int, bytes]]] = []
         group: dict[bytes, list] = {}
-        at, windows = None, 0
+        at, windows, size = None, 0, 0
 
         def done() -> pa.RecordBatch:
             found = repeats(waiting, length)
             return pa.RecordBatch.from_arrays([pa.array(found[k], t) for k, t in (("context_id", pa.binary()), ("a", pa.int32()), ("b", pa.int32()))], names=["context_id", "a", "b"])
 
-        def close() -> int:
-            """Moves the group over, unless it is one context that occurs once."""
+        def close() -> tuple[int, int]:
+            """Moves the group over, unless it is one context that occurs once; its windows and bytes."""
             own = [(k, n, c) for k, (n, c) in group.items()]
             group.clear()
             if len(own) > 1 or own and own[0][1] > 1:
                 waiting.append(own)
-                return sum(len(c[2]) - length + 1 for c in own)
-            return 0
+                bytes_ = sum(len(c[2]) for c in own)
+                return bytes_ - len(own) * (length - 1), bytes_
+            return 0, 0
 
         for batch in batches:
             for key, context_id, n, context in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != at:
-                    windows += close()
-                    at = key
-                    if windows >= SORTED:
+                    more, bytes_ = close()
+                    windows, size, at = windows + more, size + bytes_, key
+                    if windows >= SORTED or size >= SORTED_BYTES:
                         yield done()
-                        waiting, windows = [], 0
+                        waiting, windows, size = [], 0, 0
                 if context_id in group:
                     group[context_id][0] += n
                 else:
@@ -359,7 +363,7 @@ def spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     for more in dealt[1:]:
         rows = rows.unionByName(more.select("key", "context_id", "n", "context"))
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
-    hits = written(rows.mapInArrow(_sorted(length), _REPEATS), "repeats")
+    hits = written(rows.mapInArrow(lean(_sorted(length)), _REPEATS), "repeats")
     for whole in reversed(wholes):
         back = hits.join(whole, "context_id").select(F.col("whole").alias("context_id"), (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"))
         hits = hits.unionByName(back)
@@ -415,8 +419,8 @@ def _touched(texts: DataFrame, length: int) -> tuple[DataFrame, np.ndarray]:
         for batch in batches:
             yield batch.select([0, 1]).filter(pa.array(fixed_filter.held(sent.value, batch.column(2).to_numpy())))
 
-    read = texts.select("node", "text", F.xxhash64("node").alias("h")).mapInArrow(touched, "node long, text string")
-    return read.join(found, "node").select("node", "text", "spans").mapInArrow(_cut, "node long, kept binary, n_removed long, n_spans long"), bits
+    read = texts.select("node", "text", F.xxhash64("node").alias("h")).mapInArrow(lean(touched), "node long, text string")
+    return read.join(found, "node").select("node", "text", "spans").mapInArrow(lean(_cut), "node long, kept binary, n_removed long, n_spans long"), bits
 
 
 def cut(texts: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -435,7 +439,7 @@ def dedupe(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFra
     mark, kept, may = p + "node", p + "kept", p + "may"
     rows = placed(docs, mark)
     changed, bits = _touched(rows.select(F.col(mark).alias("node"), F.col(f"`{text}`").alias("text")), length)
-    left = changed.select("node", "kept").mapInArrow(_readable, "node long, kept string").select(F.col("node").alias(mark), F.col("kept").alias(kept))
+    left = changed.select("node", "kept").mapInArrow(lean(_readable), "node long, kept string").select(F.col("node").alias(mark), F.col("kept").alias(kept))
     # Rows that lose nothing are not moved.
     rows = rows.withColumn(may, fixed_filter.holds(docs.sparkSession, bits)(F.xxhash64(mark)))
     same, rows = rows.filter(~F.col(may)), rows.filter(F.col(may)).join(left, mark, "left")
