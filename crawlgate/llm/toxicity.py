@@ -34,6 +34,8 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -62,6 +64,8 @@ MOST_PIECES = 1_000_000
 WORDS = 100_000
 #: Pieces whose kernels are made together, so that the arrays stay in the processor's cache.
 TOGETHER = 1024
+#: Subsequences looked up together, for the same reason.
+CELLS = 30_000
 
 _EDGE = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
 #: A word that ends a sentence.
@@ -96,37 +100,80 @@ def pieces(words: list[str]) -> list[str]:
 
 
 def _codes(strings: list[str], width: int) -> np.ndarray:
+    """Strings as rows of code points, shorter ones with -1 behind."""
+    if all(len(s) == width for s in strings):
+        return np.frombuffer("".join(strings).encode("utf-32-le"), np.int32).reshape(len(strings), width).copy()
     out = np.full((len(strings), width), -1, np.int32)
     for i, s in enumerate(strings):
         out[i, : len(s)] = np.frombuffer(s.encode("utf-32-le"), np.int32)
     return out
 
 
+class Triples:
+    """Subsequences of ``ORDER`` (three) letters of strings (rows of codes, which may end in -2), and what each is worth in each string.
+
+    The kernel of a string with these is the sum of its own subsequences' worths,
+    as it is defined, whatever the number of letters in each of these.  They grow
+    with the cube of the string's length, so strings are to be short ones.
+    """
+
+    def __init__(self, y: np.ndarray):
+        self.letters = np.unique(y[y >= 0])
+        self.size = len(self.letters) + 1  # the last one stands for all other letters
+        found: defaultdict[tuple[int, int, int], np.ndarray] = defaultdict(lambda: np.zeros(len(y), np.float32))
+        for row, string in enumerate(y):
+            codes = np.searchsorted(self.letters, string[string >= 0]).tolist()
+            for i, j, k in combinations(range(len(codes)), ORDER):
+                found[codes[i], codes[j], codes[k]][row] += DECAY ** (k - i + 1)
+        # The first is worth nothing: it stands for all that none has.
+        self.worth = np.array([np.zeros(len(y)), *found.values()], np.float32)
+        # Places in ``third`` of two letters that begin one (0: none do), and the number of one by its beginning and its last letter.
+        pairs = {p: k for k, p in enumerate(dict.fromkeys(t[:2] for t in found), 1)}
+        self.pair = np.zeros(self.size * self.size, np.int32)
+        self.third = np.zeros((len(pairs) + 1) * self.size, np.int32)
+        for (first, second), k in pairs.items():
+            self.pair[first * self.size + second] = k * self.size
+        for at, (first, second, last) in enumerate(found, 1):
+            self.third[self.pair[first * self.size + second] + last] = at
+
+    def kernel(self, x: np.ndarray) -> np.ndarray:
+        """Kernels of strings of one length (rows of ``x``) with all of these; not normalised."""
+        n, length = x.shape
+        out = np.zeros((n, self.worth.shape[1]), np.float32)
+        if length < ORDER or len(self.worth) == 1:
+            return out
+        codes = np.searchsorted(self.letters, x)
+        codes[self.letters[np.minimum(codes, self.size - 2)] != x] = self.size - 1
+        first, second, pair, last, weights = _places(length)
+        able = np.flatnonzero((codes < self.size - 1).sum(1) >= ORDER)
+        step = max(1, CELLS // len(pair))
+        for begin in range(0, len(able), step):
+            rows = able[begin : begin + step]
+            c = codes[rows]
+            at = self.third[self.pair[c[:, first] * self.size + c[:, second]][:, pair] + c[:, last]]
+            # Those found, at the front of each row.
+            owner, place = np.nonzero(at)
+            counts = np.bincount(owner, minlength=len(rows))
+            front = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            found, weight = np.zeros((len(rows), counts.max()), np.int32), np.zeros((len(rows), 1, counts.max()), np.float32)
+            found[owner, front], weight[owner, 0, front] = at[owner, place], weights[place]
+            out[rows] = (weight @ self.worth[found])[:, 0]
+        return out
+
+
+@lru_cache(maxsize=64)
+def _places(length: int) -> tuple[np.ndarray, ...]:
+    """Places of the first two letters of subsequences, then which of these a whole one begins with, its last place, and its weight."""
+    two = list(combinations(range(length), 2))
+    at = {p: i for i, p in enumerate(two)}
+    three = list(combinations(range(length), ORDER))
+    weights = np.array([DECAY ** (k - i + 1) for i, _, k in three], np.float32)
+    return np.array([i for i, _ in two]), np.array([j for _, j in two]), np.array([at[i, j] for i, j, _ in three]), np.array([k for _, _, k in three]), weights
+
+
 def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Kernels of strings of one length (rows of ``x``) with those of ``y``, whose rows may end in -2; not normalised."""
-    n, m, t, s = len(x), len(y), y.shape[1], x.shape[1]
-    lam, lam2 = np.float32(DECAY), np.float32(DECAY * DECAY)
-    total = np.zeros((n, m), np.float32)
-    none = np.zeros((n, m), np.float32)
-    # before[i][k]: sums over subsequences of i + 1 letters inside the first letters of both.
-    before = [[none] * (t + 1) for _ in range(ORDER - 1)]
-    for j in range(s):
-        now = [[none] for _ in range(ORDER - 1)]
-        for k in range(t):
-            match = np.multiply(x[:, j, None] == y[None, :, k], lam2, dtype=np.float32)
-            for i in range(ORDER):
-                ends = match if not i else match * before[i - 1][k]
-                if i == ORDER - 1:
-                    total += ends
-                else:
-                    sums = before[i][k] * -lam
-                    sums += before[i][k + 1]
-                    sums += now[i][k]
-                    sums *= lam
-                    sums += ends
-                    now[i].append(sums)
-        before = now
-    return total
+    return Triples(y).kernel(x)
 
 
 @dataclass
@@ -159,8 +206,8 @@ class Model:
     def __post_init__(self):
         marked = [START + x for x in self.landmarks]
         width = max((len(x) for x in marked), default=1)
-        self.y = _codes(marked, width)
-        self.y[self.y == -1] = -2
+        y = _codes(marked, width)
+        self.triples = Triples(y)
         self.own = np.array([_self(x) for x in marked], np.float32)
         #: Places of known pieces in ``kernels``, and those that the second machine takes.
         self.known: dict[str, int] = {}
@@ -179,7 +226,7 @@ class Model:
                 part = at[begin : begin + TOGETHER]
                 x = _codes([strings[i] for i in part], length)
                 norm = np.sqrt(_selves(x)[:, None] * self.own[None, :])
-                out[part] = kernel(x, self.y) / np.maximum(norm, 1e-12)
+                out[part] = self.triples.kernel(x) / np.maximum(norm, 1e-12)
         return out
 
     def kernels_of(self, found: list[str]) -> np.ndarray:
@@ -278,20 +325,21 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 def _selves(x: np.ndarray) -> np.ndarray:
     """Each row's kernel with itself."""
-    s = x.shape[1]
+    s, letters = x.shape[1], np.ascontiguousarray(x.T)
     lam, lam2 = np.float32(DECAY), np.float32(DECAY * DECAY)
     total, none = np.zeros(len(x), np.float32), np.zeros(len(x), np.float32)
-    before = [[none] * (s + 1) for _ in range(ORDER - 1)]
+    # As both strings are one, only the sums with the second prefix no longer than the first are made.
+    before = [[none] for _ in range(ORDER - 1)]
     for j in range(s):
         now = [[none] for _ in range(ORDER - 1)]
-        for k in range(s):
-            match = (x[:, j] == x[:, k]) * lam2
+        for k in range(j + 1):
+            match = (letters[j] == letters[k]) * lam2
             for i in range(ORDER):
                 ends = match if not i else match * before[i - 1][k]
                 if i == ORDER - 1:
-                    total += ends
+                    total += ends if k == j else 2 * ends
                 else:
-                    now[i].append(ends + lam * (before[i][k + 1] + now[i][k] - lam * before[i][k]))
+                    now[i].append(ends + lam * ((before[i][k + 1] if k < j else now[i][k]) + now[i][k] - lam * before[i][k]))
         before = now
     return total
 

@@ -174,6 +174,38 @@ def test_kernel(s, others):
     assert toxicity._self(s) == pytest.approx(plain_kernel(s, s, toxicity.ORDER, toxicity.DECAY), rel=1e-4)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text("abcd\u4e00", min_size=7, max_size=7), min_size=1, max_size=6), st.lists(st.text("abc", max_size=9), max_size=4))
+def test_kernels_of_many_strings(strings, others):
+    y = toxicity._codes(others, 9)
+    x = toxicity._codes(strings, 7)
+    want = [[plain_kernel(s, t, toxicity.ORDER, toxicity.DECAY) for t in others] for s in strings]
+    for cells in (1, toxicity.CELLS):  # a row at a time, and all together
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(toxicity, "CELLS", cells)
+            assert toxicity.Triples(y).kernel(x) == pytest.approx(np.array(want, float).reshape(len(strings), len(others)), rel=1e-4)
+    assert toxicity._selves(x) == pytest.approx([plain_kernel(s, s, toxicity.ORDER, toxicity.DECAY) for s in strings], rel=1e-4)
+
+
+def test_letters_of_landmarks_that_a_piece_lacks_take_no_time():
+    """CPU time of new pieces' features, by landmarks of four letters and by these with 20 letters more that no piece has."""
+    import time
+
+    def took(model):
+        t = time.thread_time()
+        model.features(new)
+        return time.thread_time() - t
+
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("etaoinsrhldcum") for _ in range(n))
+    short = [word(4) for _ in range(40)]
+    few, many = (toxicity.Model(x, np.zeros(40), 0.0) for x in (short, [x + "0123456789" * 2 for x in short]))
+    new = [toxicity.START + word(r.randint(3, 12)) for _ in range(5000)]
+    took(few), took(many)
+    times = [(took(few), took(many)) for _ in range(7)]
+    assert min(b for _, b in times) < 2 * min(a for a, _ in times)
+
+
 def insulted(seed, n=160):
     r = random.Random(seed)
     part = lambda: r.choice(["an", "the", "ble", "or", "ing", "re", "tion", "sh", "wh", "es"])
